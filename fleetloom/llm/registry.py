@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from . import chat_format, exact_dedup, license_scan, mixing, secret_scan, url_filter, warc
+from . import chat_format, exact_dedup, license_scan, mixing, secret_scan, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_warc": warc.op10_warc,
 }
