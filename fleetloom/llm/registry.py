@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from . import chat_format, exact_dedup, license_scan, mixing, secret_scan, toxicity, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, license_scan, mixing, secret_scan, simhash, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_license_scan": license_scan.op4_license_scan,
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_simhash": simhash.op9_simhash,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {
