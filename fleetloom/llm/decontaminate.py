@@ -34,12 +34,14 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def myers(pattern: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
-    """Least edit distance of a pattern to any stretch of a text, and the first end of one, by bit vectors of any length."""
+def myers(pattern: str, text: str, masks: dict[str, int], anchored: int | None = None) -> tuple[int, int]:
+    """Least edit distance of a pattern to any stretch of a text, and the first end of one, by bit vectors of any length.
+
+    With anchored, stretches begin where the text begins, and the first with that distance is taken."""
     m = len(pattern)
     full, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = full, 0, m, m, 0
-    get = masks.get
+    get, first = masks.get, int(anchored is not None)
     for j, c in enumerate(text):
         eq = get(c, 0)
         xv = eq | mv
@@ -52,7 +54,9 @@ def myers(pattern: str, text: str, masks: dict[str, int]) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, end = score, j + 1
-        ph = (ph << 1) & full
+                if anchored is not None and score <= anchored:
+                    break
+        ph = (ph << 1 | first) & full
         mh = (mh << 1) & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
@@ -69,13 +73,20 @@ def masks_of(pattern: str) -> dict[str, int]:
 class Node:
     """A stretch lo..hi of an item with its error budget."""
 
-    __slots__ = ("budget", "hi", "lo", "masks", "parent", "text")
+    __slots__ = ("beside", "budget", "hi", "lo", "masks", "parent", "text")
 
     def __init__(self, item: str, lo: int, hi: int, budget: int, parent: Node | None):
         self.lo, self.hi, self.budget, self.parent, self.text, self.masks = lo, hi, budget, parent, item[lo:hi], None
+        self.beside: list[tuple[str, int, int]] = []
 
     def leaves(self, item: str) -> Iterator[Node]:
         if not self.budget:
+            if self.parent is not None:
+                # The rest of the parent has at most its budget of errors, so one of budget + 1 parts of it is
+                # unchanged, moved by at most the budget: what to look for, from where and up to where.
+                k, a, b = self.parent.budget, *((self.hi, self.parent.hi) if self.lo == self.parent.lo else (self.parent.lo, self.lo))
+                cuts = [a + (b - a) * i // (k + 1) for i in range(k + 2)]
+                self.beside = [(item[x:y], x - self.lo - k, y - self.lo + k) for x, y in zip(cuts, cuts[1:], strict=False)]
             yield self
             return
         left = (self.budget - 1) // 2
@@ -115,11 +126,18 @@ class Matcher:
         for last, at in self.automaton.iter(text):
             for n, leaf in at:
                 begin = last + 1 - (leaf.hi - leaf.lo)
+                if n in found and (not found[n][0] or found[n][1] <= begin and last < found[n][2]):
+                    continue  # part of what is found, or nothing could be nearer
                 node = leaf.parent
                 distance, end = 0, last + 1
-                if node is None and (n not in found or found[n][0]):
+                if node is None:
                     found[n] = (0, begin, end)
                     continue
+                for part, a, b in leaf.beside:
+                    if text.find(part, max(0, begin + a), max(0, begin + b)) >= 0:
+                        break
+                else:
+                    continue
                 while node is not None:
                     a = max(0, begin - (leaf.lo - node.lo) - node.budget)
                     b = begin + (node.hi - leaf.lo) + node.budget
@@ -134,17 +152,9 @@ class Matcher:
 
     def _start(self, n: int, text: str, end: int, distance: int) -> int:
         """The latest start of a stretch with that distance that ends there."""
-        item = self.items[n][1]
+        item = self.items[n][1][::-1]
         part = text[max(0, end - len(item) - distance) : end][::-1]
-        # Distances of the whole item reversed to each prefix of the text reversed: one row of the table at a time.
-        row = list(range(len(item) + 1))
-        for j, c in enumerate(part, 1):
-            before, row[0] = row[0], j
-            for i, x in enumerate(reversed(item), 1):
-                before, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, before + (x != c))
-            if row[-1] == distance:
-                return end - j
-        return end - len(part)
+        return end - (myers(item, part, masks_of(item), distance)[1] if distance else len(item))
 
 
 def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
