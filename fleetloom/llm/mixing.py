@@ -68,7 +68,7 @@ def coin(source: Column, doc_id: Column, size: Column, seed: int) -> Column:
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, limit: int = 2, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row of docs."""
     sizes = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    targets = source_targets(sizes, weights=weights, share_pct=share_pct, limit=limit).withColumnRenamed("source", "of")
+    targets = saved(source_targets(sizes, weights=weights, share_pct=share_pct, limit=limit)).withColumnRenamed("source", "of")
     joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate").cast("long")
@@ -78,14 +78,16 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 
 def emit_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with each row repeated as the mix says, and the column copy, from 1."""
-    own = docs.withColumn("__size", word_count(F.col(options.get("text", "text"))))
-    mixed = mix_sources(docs, **options)
-    rates = mixed.groupBy("source").agg(F.first("target").alias("__t"), F.first("source_size").alias("__s")).withColumnRenamed("source", "__of")
-    source, doc_id = F.col(options.get("source", "source")), F.col(options.get("id_col", "doc_id"))
+    text, source, doc_id = (F.col(options.pop(k, d)) for k, d in (("text", "text"), ("source", "source"), ("id_col", "doc_id")))
+    seed = options.pop("seed", SEED)
+    own = docs.withColumn("__size", word_count(text))
+    # A stored table, so that Spark knows its size when it plans: few sources are broadcast and no text is shuffled.
+    rates = saved(source_targets(own.select(source.alias("source"), F.col("__size").alias("size")), **options))
+    rates = rates.select(F.col("source").alias("__of"), F.col("target").alias("__t"), F.col("source_size").alias("__s"))
     own = own.join(rates, source.eqNullSafe(F.col("__of")))
     rate = F.when(F.col("__s") > 0, F.col("__t") / F.col("__s")).otherwise(F.lit(0.0))
     own = own.withColumn("__r", rate)
-    own = own.withColumn("__n", F.floor("__r").cast("int") + (coin(source, doc_id, F.col("__size"), options.get("seed", SEED)) < F.col("__r") - F.floor("__r")).cast("int"))
+    own = own.withColumn("__n", F.floor("__r").cast("int") + (coin(source, doc_id, F.col("__size"), seed) < F.col("__r") - F.floor("__r")).cast("int"))
     return own.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
 
 
