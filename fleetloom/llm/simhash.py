@@ -141,8 +141,8 @@ def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of fingerprints, in the last axis 64 bits each."""
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) if x.ndim > 1 else np.bitwise_count(x ^ y).astype(np.int64)
+    """Differing bits of fingerprints, in the last axis 64 bits each. Counted without a sign: of a negative number numpy counts the absolute value."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(-1, dtype=np.int64)
 
 
 def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
