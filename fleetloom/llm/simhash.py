@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = candidates.select(F.col("a").alias("row")).unionByName(candidates.select(F.col("b").alias("row"))).distinct()
     shingles = saved(own.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(sets, "row long, shingles array<long>"))
     pairs = candidates.join(shingles.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
     of = components(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
