@@ -29,6 +29,18 @@ def vin_valid(vin: Column) -> Column:
     return F.coalesce(vin.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(vin, 9, 1) == vin_check_digit(vin)), F.lit(False))
 
 
+def vin_build(template: Column) -> Column:
+    """The template with its right check digit at position 9."""
+    return F.concat(F.substring(template, 1, 8), vin_check_digit(template), F.substring(template, 10, 8))
+
+
+def dtc_encode(code: Column) -> Column:
+    """Four hexadecimal digits of a trouble code; null if malformed."""
+    ok = F.when(code.rlike("^[PCBU][0-3][0-9A-F]{3}$"), code)
+    n = (F.position(F.substring(ok, 1, 1), F.lit("PCBU")) - 1) * 4 + F.substring(ok, 2, 1).cast("int")
+    return F.concat(F.hex(n.cast("long")), F.substring(ok, 3, 3))
+
+
 def dtc_decode(raw: Column) -> Column:
     """Trouble code of four hexadecimal digits: two bits of system, two of type, three digits; null if malformed."""
     n = F.conv(F.when(raw.rlike("^[0-9A-Fa-f]{4}$"), raw), 16, 10).cast("int")

@@ -1,0 +1 @@
+from . import fleet, reports, stateful  # noqa: F401  # each adds its queries

@@ -10,13 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    path, known = f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name)
+    files = known.inputFiles()
+    stream = spark.readStream.schema(known.schema)
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):  # a stream reads folders
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(path)
+
+
 def hundredths(c: Column) -> Column:
     return F.floor(c * 100 + 0.5).cast("long")
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vin, tenant, ts, seq, soc, speed_c, state, evt, step_c, lat, lon of events."""
-    e = table(spark, sf_dir, "events")
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(e: DataFrame) -> DataFrame:
     state = F.when(F.col("event_type") == "purchase", "CHARGING").when(F.col("event_type") == "signup", "PLUGGED").otherwise("NONE")
     return e.select(
         F.col("user_id").alias("vin"), (F.col("user_id") % 5).alias("tenant"), "ts", F.col("event_id").alias("seq"),
@@ -28,7 +41,11 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vin, ts, seq, n: events in order of arrival n; every 20th comes again 40 later, every 33rd comes 50 late."""
-    t = telemetry(spark, sf_dir).select("vin", "ts", "seq")
+    return arrivals_of(telemetry(spark, sf_dir))
+
+
+def arrivals_of(t: DataFrame) -> DataFrame:
+    t = t.select("vin", "ts", "seq")
     late = F.when(F.col("seq") % 33 == 0, F.col("seq") * 2 + 101).otherwise(F.col("seq") * 2)
     again = t.where("seq % 20 = 0").select("vin", "ts", "seq", (F.col("seq") * 2 + 81).alias("n"))
     return t.select("vin", "ts", "seq", late.alias("n")).unionByName(again)
