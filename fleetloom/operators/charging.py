@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .folds import fold_sorted
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Fixed values of the battery model: energy step in kWh, efficiency, hours of a slot.
 STEP, EFFICIENCY, SLOT_H = 0.25, 0.93, 0.25
 

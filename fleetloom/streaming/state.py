@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import astuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.folds import ALERT_SCHEMA, Vehicle, alarm
 from ..sources.scratch import folder
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW = 256
 
 
