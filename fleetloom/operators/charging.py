@@ -24,14 +24,19 @@ def taper(share: np.ndarray) -> np.ndarray:
     return np.where(share <= 0.8, 1.0, np.maximum(0.15, 1 - (share - 0.8) / 0.2 * 0.85))
 
 
+def levels(capacity: float, start: float, target: float, power: float) -> tuple[int, np.ndarray]:
+    """Steps from start to target kWh, and the most steps that one slot adds from each level on the way."""
+    top = max(0, min(math.ceil((target - start) / STEP - 1e-9), math.floor((capacity - start) / STEP + 1e-9)))
+    return top, np.floor((power * SLOT_H * EFFICIENCY * taper((start + STEP * np.arange(top + 1)) / capacity) + 1e-9) / STEP).astype(int)
+
+
 def cheapest(capacity: float, start: float, target: float, power: float, price: np.ndarray) -> tuple[float, np.ndarray] | None:
     """(cost, steps in each slot) of the cheapest way from start to target kWh; None if there is none. Slots priced inf are taken.
 
     Backwards over slots: due[t, i] is the least cost from level i before slot t; all levels are moved at once."""
-    top = min(math.ceil((target - start) / STEP - 1e-9), math.floor((capacity - start) / STEP + 1e-9))
+    top, room = levels(capacity, start, target, power)
     if top <= 0:
         return 0.0, np.zeros(len(price), int)
-    room = np.floor((power * SLOT_H * EFFICIENCY * taper((start + STEP * np.arange(top + 1)) / capacity) + 1e-9) / STEP).astype(int)
     due = np.full((len(price) + 1, top + 1), np.inf)
     due[-1, top] = 0.0
     for t in range(len(price) - 1, -1, -1):
@@ -50,6 +55,17 @@ def cheapest(capacity: float, start: float, target: float, power: float, price:
     return float(due[0, 0]), used
 
 
+def soonest(capacity: float, start: float, target: float, power: float, price: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """As cheapest, but charging at once, as much as each free slot adds, whatever the price."""
+    top, room = levels(capacity, start, target, power)
+    level, cost, used = 0, 0.0, np.zeros(len(price), int)
+    for t in np.flatnonzero(np.isfinite(price)):
+        used[t] = min(room[level], top - level)
+        cost += float(price[t]) * int(used[t]) * STEP / EFFICIENCY
+        level += used[t]
+    return (cost, used) if level == top else None
+
+
 def share_out(vehicles: DataFrame, chargers: DataFrame) -> DataFrame:
     """Vehicles (vin, depot, soc) dealt in turn, the emptiest first, to the chargers (charger, depot, power) of their depot."""
     c = chargers.withColumn("__i", F.row_number().over(Window.partitionBy("depot").orderBy("charger")) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("depot")))
@@ -58,15 +74,17 @@ def share_out(vehicles: DataFrame, chargers: DataFrame) -> DataFrame:
     return v.join(size, "depot").withColumn("__i", F.col("__r") % F.col("__n")).drop("__n", "__r").join(c.drop("__n"), ["depot", "__i"]).drop("__i")
 
 
-def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float = 80.0) -> DataFrame:
+def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float = 80.0, at_once: bool = False) -> DataFrame:
     """vin, charger, feasible, cost, slots (steps of 0.25 kWh in each slot, comma-joined) for vehicles (vin, charger, power, capacity, soc).
 
-    A charger serves its vehicles in order of charge, and a slot once: a fold by charger whose state is the taken slots."""
+    A charger serves its vehicles in order of charge, and a slot once: a fold by charger whose state is the taken slots.
+    at_once: the baseline that doesn't look at prices."""
+    way = soonest if at_once else cheapest
     base = np.asarray(prices, float)
 
     def step(taken: np.ndarray, row: tuple) -> tuple:
         charger, soc, vin, power, capacity = row
-        found = cheapest(capacity, soc / 100 * capacity, target_pct / 100 * capacity, power, np.where(taken, np.inf, base))
+        found = way(capacity, soc / 100 * capacity, target_pct / 100 * capacity, power, np.where(taken, np.inf, base))
         if found is None:
             return vin, charger, False, 0.0, ""
         taken |= found[1] > 0
@@ -74,3 +92,11 @@ def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float =
 
     rows = vehicles.where(F.col("soc") < target_pct).where("capacity > 0").select("charger", "soc", "vin", "power", "capacity")
     return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, feasible boolean, cost double, slots string")
+
+
+def intervals(plans: DataFrame) -> DataFrame:
+    """vin, charger, first_slot, end_slot (exclusive), kwh of the unbroken stretches of plans (vin, charger, feasible, slots)."""
+    slots = plans.where("feasible AND slots <> ''").select("vin", "charger", F.posexplode(F.split("slots", ",")).alias("slot", "steps")).withColumn("steps", F.col("steps").cast("int")).where("steps > 0")
+    runs = slots.withColumn("run", F.col("slot") - F.row_number().over(Window.partitionBy("vin", "charger").orderBy("slot")))
+    found = runs.groupBy("vin", "charger", "run").agg(F.min("slot").alias("first_slot"), (F.max("slot") + 1).alias("end_slot"), (F.sum("steps") * F.lit(STEP)).alias("kwh"))
+    return found.drop("run")

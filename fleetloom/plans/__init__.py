@@ -1 +1 @@
-from . import fleet, reports, stateful  # noqa: F401  # each adds its queries
+from . import fleet, reports, stateful, ways  # noqa: F401  # each adds its queries
