@@ -290,14 +290,29 @@ def error_rate(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables_for(rows: int, similarity: float, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Bits of each table: 23 for a Golay segment, and some more so that a key has about as many values as there are rows."""
+def most_bits(similarity: float) -> int:
+    """Of 128 bits, as many as differ in all but some 0.3 % of pairs at the similarity."""
     p = error_rate(similarity)
+    return math.floor(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
+
+
+def tables_for(rows: int, similarity: float, recall: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bits of each table: 23 for a Golay segment, and some more so that a key has about as many values as there are rows.
+
+    Tables are as many as pairs at the similarity need on average: those that happen to differ in more bits than most
+    do are found less often, so the count can't be taken from the mean of the bits."""
+    p, most = error_rate(similarity), most_bits(similarity)
     more = max(0, math.ceil(math.log2(max(2, rows))) - 12)
-    # Two words have one nearest codeword about as often as 12.5 sampled bits agree.
-    hit = (1 - p) ** (12.8 + more)
+    share = np.array([math.comb(128, n) * p**n * (1 - p) ** (128 - n) for n in range(most + 1)])
+    if share.sum() <= recall:
+        raise ValueError("pairs of more differing bits than are compared set a limit to the recall")
+    # Two words have one nearest codeword about as often as 12.8 sampled bits agree.
+    miss = 1 - (1 - np.arange(most + 1) / 128) ** (12.8 + more)
+    count = 1
+    while (share * (1 - miss**count)).sum() < recall:
+        count += 1
     rng = np.random.default_rng(23)
-    return [(bits[:23], bits[23 : 23 + more]) for bits in (rng.permutation(128) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - hit))))]
+    return [(bits[:23], bits[23 : 23 + more]) for bits in (rng.permutation(128) for _ in range(count))]
 
 
 def table_keys(lo: np.ndarray, hi: np.ndarray, tables: list) -> np.ndarray:
@@ -313,16 +328,15 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, tables: list) -> np.ndarray:
     return (np.arange(len(tables)) << (12 + size)) | (code << size) | words[:, 1::2]
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """row, doc_id, component (smallest row number of those alike, directly or through others) of every row of docs.
 
-    docs must be a stored table, as its rows are numbered more than once. recall: the least chance that a pair just at
-    the similarity is found; more alike pairs are found more surely. What is found is verified exactly."""
+    docs must be a stored table, as its rows are numbered more than once. recall: the share of pairs just at the
+    similarity that is found; more alike pairs are found more surely. What is found is verified exactly."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     prints = saved(own.select("row", "doc_id", wide_fingerprints(shingle)(F.col("text")).alias("p")).select("row", "doc_id", "p.*"))
     distinct = saved(prints.groupBy("lo", "hi").agg(F.min("row").alias("id")))
-    p = error_rate(similarity)
-    most = math.floor(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
+    most = most_bits(similarity)
     tables = tables_for(distinct.count(), similarity, recall)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

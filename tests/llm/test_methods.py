@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from oracle import DATA
 
@@ -192,6 +193,22 @@ def test_near_duplicates_are_found_and_exact(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(d).collect()) == [*range(0, 180, 3), 900]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):  # pairs of a similarity of 0.815, the least that are wanted being 0.8
+        w = [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(200)]
+        v = list(w)
+        for k in (20, 70, 120, 170):
+            v[k] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(saved(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum(found[2 * i] == found[2 * i + 1] for i in range(400)) >= 0.93 * 400
+    assert len({found[2 * i] for i in range(400)}) == 400
+    with pytest.raises(ValueError):
+        simhash.tables_for(1000, 0.8, 0.999)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
