@@ -11,6 +11,8 @@ buckets over BLOCK rows go to a second step, where each pair of blocks is a task
 
 ``near_duplicates`` finds documents alike in shingles (5 words, Jaccard 0.8) by the same code: 128-bit fingerprints, keys
 from Golay segments of fixed random bits, as many as the wanted recall needs, then exact similarity of the shingle sets.
+The forest's links are verified first. Where one fails and its ends stay apart, all pairs of a bucket that are still of
+different groups are verified, in large families a growing share of them at a time, until none is left untried.
 
 Defined cases: null and empty texts have no words; with fewer words than a shingle the whole sequence is one. A
 fingerprint without words is 0 and linked like any other (for near_duplicates, texts without words are alike). Null ids
@@ -38,6 +40,8 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 4096
 #: Buckets up to this size are compared all at once over a batch.
 SMALL = 8
+#: Rows of the largest family that each row is compared with at first, and how many times more in each round after it.
+TRIED = 32
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -166,21 +170,45 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) -> Callable:
-    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null."""
+def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1, fixed for a pair of ids."""
+    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    return (mixed(mixed(lo + np.uint64(1)) ^ hi) >> np.uint64(11)) / 2.0**53
+
+
+def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, share: float | None = None) -> Callable:
+    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null.
+
+    With a share, the last of fp_columns is a row's group and a bucket gives that share of all pairs of different groups instead of a forest."""
+
+    def near(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if share is None:
+            return distances(a, b) <= most
+        ok = (a[:, -1] != b[:, -1]) & (distances(a[:, :-1], b[:, :-1]) <= most)
+        return ok if share >= 1 else ok & (drawn(a_ids, b_ids) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         open_block, open_key = 0, None
 
-        def bucket(ids: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i, j = forest(fp, most)
-            return ids[i], ids[j]
+        def bucket(ids: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if share is None:
+                i, j = forest(fp, most)
+                yield ids[i], ids[j]
+                return
+            for i in range(len(ids) - 1):
+                ok = np.flatnonzero(near(ids[i : i + 1], fp[i : i + 1], ids[i + 1 :], fp[i + 1 :]))
+                yield np.full(len(ok), ids[i]), ids[i + 1 + ok]
 
         def members(key: int, ids: np.ndarray, fp: np.ndarray, block: int) -> pa.RecordBatch:
             n = len(ids)
             return _out(np.full(n, key), ids, None, fp.reshape(n, -1), np.full(n, block))
 
+        def ends(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.stack([np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])], 1)
+            pairs = np.unique(np.sort(pairs, 1), axis=0)
+            return _out(None, pairs[:, 0], pairs[:, 1], None, None)
+
         def work(key: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole buckets."""
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, np.int64)
@@ -194,16 +222,19 @@ def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) ->
                 same = np.flatnonzero(kf[lag:] == kf[:-lag])
                 if not len(same):
                     break
-                ok = same[distances(ff[same], ff[same + lag]) <= most]
+                ok = same[near(idf[same], ff[same], idf[same + lag], ff[same + lag])]
                 a.append(idf[ok])
                 b.append(idf[ok + lag])
             for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                x, y = bucket(ids[s : s + n], fp[s : s + n])
-                a.append(x)
-                b.append(y)
-            pairs = np.stack([np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])], 1)
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            yield _out(None, pairs[:, 0], pairs[:, 1], None, None)
+                held_pairs = sum(map(len, a))
+                for x, y in bucket(ids[s : s + n], fp[s : s + n]):
+                    a.append(x)
+                    b.append(y)
+                    held_pairs += len(x)
+                    if held_pairs > 1 << 20:
+                        yield ends(a, b)
+                        a, b, held_pairs = [], [], 0
+            yield ends(a, b)
 
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
@@ -247,17 +278,17 @@ def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) ->
     return run
 
 
-def links(keyed: DataFrame, fp_columns: list[str], most: int) -> DataFrame:
-    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits."""
+def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None) -> DataFrame:
+    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; with a share, that of all pairs (see linker)."""
     schema = f"key long, a long, b long, {', '.join(f'{c} long' for c in fp_columns)}, block long"
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False), schema))
+    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, share), schema))
     members = found.where("b is null").withColumnRenamed("a", "id")
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     # Each block meets each block of its bucket, itself included, in a group of its own.
     pairs = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", *fp_columns)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True), schema)
+    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True, share), schema)
     return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
 
 
@@ -341,12 +372,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "lo", "hi")]
+            names = batch.schema.names
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             for at in range(0, batch.num_rows, 4096):
-                ids, lo, hi = (c[at : at + 4096] for c in cols)
-                found = table_keys(lo, hi, tables)
+                part = dict(zip(names, (c[at : at + 4096] for c in cols), strict=True))
+                found = table_keys(part["lo"], part["hi"], tables)
                 n = found.shape[1]
-                yield pa.record_batch([pa.array(found.reshape(-1)), *(pa.array(np.repeat(c, n)) for c in (ids, lo, hi))], names=["key", "id", "lo", "hi"])
+                yield pa.record_batch([pa.array(found.reshape(-1)), *(pa.array(np.repeat(c, n)) for c in part.values())], names=["key", *names])
 
     keyed = distinct.select("id", "lo", "hi").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long")
     same = prints.join(distinct, ["lo", "hi"]).where("row <> id").select(F.col("row").alias("a"), F.col("id").alias("b"))
@@ -369,8 +401,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     wanted = candidates.select(F.col("a").alias("row")).unionByName(candidates.select(F.col("b").alias("row"))).distinct()
     shingles = saved(own.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(sets, "row long, shingles array<long>"))
-    pairs = candidates.join(shingles.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    of = components(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(shingles.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+        return saved(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+    edges = verified(candidates)
+    of = saved(components(edges))
+    # What candidates link, alike or not, holds every pair of a bucket within most bits.
+    around = components(candidates)
+    rows = prints.join(around, prints["row"] == around["node"]).select("row", "lo", "hi", F.col("root").alias("around"))
+    share = 0.0
+    while share < 1:
+        rows = rows.join(of, rows["row"] == of["node"], "left").select("row", "lo", "hi", "around", F.coalesce("root", "row").alias("own"))
+        apart = saved(rows.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y"))
+        largest = apart.agg(F.max("n")).first()[0]
+        if largest is None:
+            break
+        share = min(1.0, max(TRIED * share, TRIED / largest))
+        rows = saved(rows.join(apart, "around", "left_semi"))
+        keyed = rows.select(F.col("row").alias("id"), "lo", "hi", "own").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long, own long")
+        edges = edges.unionByName(verified(saved(links(keyed, ["lo", "hi", "own"], most, share).distinct())))
+        of = saved(components(edges))
+        rows = rows.drop("own")
     return prints.join(of, prints["row"] == of["node"], "left").select("row", "doc_id", F.coalesce("root", "row").alias("component"))
 
 

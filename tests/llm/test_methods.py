@@ -209,6 +209,22 @@ def test_near_duplicates_at_the_threshold(spark):
         simhash.tables_for(1000, 0.8, 0.999)
 
 
+def test_siblings_around_one_base_are_joined(spark):
+    """Each sibling is 0.85 like the base and 0.73 like the others: fingerprints of siblings are often nearer than the base's."""
+    rng = random.Random(29)
+    base = [f"w{i}" for i in range(500)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 301):
+        words = base.copy()
+        for part in range(8):
+            words[part * 61 + 4 + rng.randrange(55)] = f"own{k}x{part}"
+        rows.append((k, " ".join(words)))
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in rows}
+    assert all(len(sets[0] & sets[k]) >= 0.8 * len(sets[0] | sets[k]) for k in sets)
+    found = [r.component for r in simhash.near_duplicates(saved(spark.createDataFrame(rows, "doc_id long, text string"))).collect()]
+    assert max(found.count(c) for c in set(found)) >= 270
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
