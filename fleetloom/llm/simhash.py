@@ -121,10 +121,12 @@ def fingerprints(shingle: int):
 
 
 def wide_fingerprints(shingle: int):
+    """128 bits of the set of shingles: a repeated one counts once, as in the similarity that is verified."""
+
     @F.pandas_udf("lo long, hi long")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [(_packed(majority_bits(h)), _packed(majority_bits(mixed(h)))) for h in (shingle_hashes(t, shingle) for t in texts)]
+            rows = [(_packed(majority_bits(h)), _packed(majority_bits(mixed(h)))) for h in (np.unique(shingle_hashes(t, shingle)) for t in texts)]
             yield pd.DataFrame(rows, columns=["lo", "hi"], dtype="int64")
 
     return fingerprint

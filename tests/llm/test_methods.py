@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from oracle import DATA
+from pyspark.sql import functions as F
 
 from fleetloom.llm import decontaminate, exact_dedup, license_scan, mixing, simhash, toxicity, url_filter
 from fleetloom.llm.common import saved
@@ -225,6 +226,25 @@ def test_siblings_around_one_base_are_joined(spark):
     assert max(found.count(c) for c in set(found)) >= 270
 
 
+def test_repeated_passages_count_once(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    footer = " " + " ".join(f"f{i}" for i in range(10))
+    rows = [(0, words + footer * 2), (1, words + footer * 20), (2, "another text of its own that is like neither of the two")]
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(saved(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found[0] == found[1] != found[2]
+
+
+def test_equal_fingerprints_are_compared_among_themselves(spark, monkeypatch):
+    def equal(shingle):
+        return lambda text: F.struct(F.length(text) * F.lit(0).cast("long") + 5, F.lit(7).cast("long")).cast("struct<lo: long, hi: long>")
+
+    monkeypatch.setattr(simhash, "wide_fingerprints", equal)
+    first, second = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(0, first), (1, second), (2, second + " end")]
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(saved(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()}
+    assert found[1] == found[2] != found[0]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
