@@ -3,7 +3,9 @@
 Candidate blocks of a text (runs of lines around a word that licenses use) are compressed plainly and with each
 template as a raw zstandard dictionary. A template that tells much about a block saves many bytes; templates are ranked
 by what they save, and the winner is confirmed by its exact differences in wording from the best-fitting stretch of the
-block: words of the template that are missing or changed, and words put between.
+block: words of the template that are missing or changed, and words put between. What a confirmed notice leaves over is
+judged again, until no template is confirmed; long stretches are judged in windows that overlap by more than the longest
+template.
 
 Defined cases: null and empty texts have no findings; each place of a repeated notice is a finding; templates that save
 equally many bytes are taken by fewer differences, then by name. Extra columns are not read. Whole texts are
@@ -13,7 +15,9 @@ searched; what is remembered of blocks already judged is bounded.
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +43,8 @@ WORDS = re.compile(r"[\w.+-]*\w", re.A)
 MAX_DIFF = 0.15
 #: Least share of the plain size that a winner saves.
 LEAST_SAVED = 0.25
+#: Characters up to which a stretch is judged whole before it is judged in windows.
+WHOLE = 2000
 SCHEMA = "doc_id long, start long, end long, license string, plain_bytes int, saved_bytes int, saved_share double, differences int, wording string"
 
 
@@ -73,6 +79,8 @@ class Judge:
             for form in forms:
                 raw = zstandard.ZstdCompressionDict(form.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.all.append((name, form, [w.lower() for w in WORDS.findall(form)], zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        # Words in which any confirmed notice fits; a window is two of these and moves on by one.
+        self.reach = math.ceil((1 + max_diff) * max((len(want) for _, _, want, _ in self.all), default=0)) + 1
         self.of = lru_cache(cache)(self._of)
 
     def _of(self, line: str) -> tuple | None:
@@ -84,8 +92,10 @@ class Judge:
         ranked = sorted(((plain - len(c.compress(low)), name, form, want) for name, form, want, c in self.all), key=lambda x: (-x[0], x[1], x[2]))
         best = None
         for saved, name, _, want in ranked:
-            if saved < self.least_saved * min(plain, 8 + sum(map(len, want))) or best is not None and saved < best[4]:
+            if best is not None and saved < best[4]:
                 break
+            if saved < self.least_saved * min(plain, 8 + sum(map(len, want))):
+                continue
             same = [b for b in difflib.SequenceMatcher(None, want, words, autojunk=False).get_matching_blocks() if b.size]
             if not same:
                 continue
@@ -100,17 +110,49 @@ class Judge:
                     best = got
         return best
 
+    def within(self, text: str, at: int) -> Iterator[tuple]:
+        """The best notice of a stretch that starts at a place, and those of what it leaves over, in order."""
+        if HINT.search(text) and (f := self.of(text) if len(text) <= WHOLE else self._of(text)):
+            yield from self.within(text[: f[1]], at)
+            yield f[0], at + f[1], at + f[2], *f[3:]
+            yield from self.within(text[f[2] :], at + f[2])
+
+    def windows(self, text: str, at: int) -> Iterator[tuple]:
+        """Notices of a stretch by windows; one that starts in the second half of a window is left to the next."""
+        words = [m.span() for m in WORDS.finditer(text)] if HINT.search(text) else []
+        k = 0
+        while k < len(words):
+            rest = words[k : k + 2 * self.reach]
+            last = k + len(rest) == len(words)
+            done = 0
+            for f in self.within(text[rest[0][0] : rest[-1][1]], at + rest[0][0]):
+                if last or f[1] - at < rest[self.reach][0]:
+                    yield f
+                    done = f[2] - at
+            k = len(words) if last else max(k + self.reach, bisect_left(words, (done,)))
+
+    def places(self, text: str, at: int) -> list[tuple]:
+        """All notices of a stretch, in order."""
+        found = list(self.within(text, at)) if len(text) <= WHOLE else []
+        return sorted([*found, *(f for b, e in gaps(found, at, at + len(text)) for f in self.windows(text[b - at : e - at], b))], key=lambda f: f[1])
+
     def findings(self, text: str) -> Iterator[tuple]:
-        """Line by line first, as most notices are one line; else the whole block."""
+        """Line by line first, as most notices are one line; then what is left of the block."""
         for begin, block in blocks(text):
-            at, hit = begin, False
+            at, found = begin, []
             for line in block.splitlines(keepends=True):
-                if HINT.search(line) and len(line) <= 2000 and (f := self.of(line.strip("\n"))):
-                    hit = True
-                    yield f[0], at + f[1], at + f[2], *f[3:]
+                found += self.places(line.strip("\n"), at)
                 at += len(line)
-            if not hit and block.count("\n") and (f := self._of(block)):
-                yield f[0], begin + f[1], begin + f[2], *f[3:]
+            for b, e in gaps(found, begin, at):
+                part = text[b:e]
+                if part.strip("\n").count("\n"):
+                    found = [*found, *self.places(part, b)]
+            yield from sorted(found, key=lambda f: f[1])
+
+
+def gaps(found: list[tuple], begin: int, end: int) -> list[tuple[int, int]]:
+    """The stretches from begin to end between notices in order."""
+    return list(zip([begin, *(f[2] for f in found)], [*(f[1] for f in found), end], strict=True))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES, max_diff: float = MAX_DIFF, least_saved: float = LEAST_SAVED) -> DataFrame:

@@ -83,6 +83,21 @@ def test_licenses():
     assert found("My driving licence is lost.") == [] and found("") == []
 
 
+def test_every_license_notice_is_judged():
+    judge = license_scan.Judge()
+    of = lambda text: [(f[0], text[f[1] : f[2]]) for f in judge.findings(text)]
+    mit, apache = (license_scan.TEMPLATES[n] for n in ("MIT", "Apache-2.0"))
+    filler = " ".join(f"word{i} of prose" for i in range(400))
+    line = f"{filler} {mit[1]} {filler} {license_scan.TEMPLATES['GPL-3.0'][1]} {filler}"
+    assert of(line) == [("MIT", mit[1]), ("GPL-3.0", license_scan.TEMPLATES["GPL-3.0"][1][:-1])]
+    for shift in range(0, 120, 7):
+        assert of("x " * shift + line)[0] == ("MIT", mit[1])
+    wrapped = mit[1].replace(" to any", "\nto any").replace(" software and", "\nsoftware and")
+    assert of(f"{apache[0]}\n{wrapped}\n") == [("Apache-2.0", apache[0][:-1]), ("MIT", wrapped)]
+    assert [n for n, _ in of(f"{apache[0]} {mit[0]}")] == ["Apache-2.0", "MIT"]
+    assert [n for n, _ in of(f"{mit[0]} {mit[0]}")] == ["MIT", "MIT"]
+
+
 def test_exact_dedup_hot_path_equals_cold_path(spark):
     d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = lambda share: sorted(map(tuple, exact_dedup.exact_dedup(d, hot_share=share).collect()))
