@@ -40,3 +40,8 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table with a number of each row in column name: numbers made anew in each scan would follow the splits of that scan."""
+    return saved(df.withColumn(name, F.monotonically_increasing_id()))

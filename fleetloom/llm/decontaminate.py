@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import numbered, read, saved
 
 RATE = 0.1
 #: Characters of items that are broadcast at once (an automaton of about 100 bytes for each).
@@ -157,13 +157,13 @@ class Matcher:
         return end - (myers(item, part, masks_of(item), distance)[1] if distance else len(item))
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """row (number of the row of docs), doc_id, item_id, distance, start, end: for each row of docs and item in it, the nearest occurrence."""
+def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, row: str | None = None) -> DataFrame:
+    """row (number of the row of docs, or its column row), doc_id, item_id, distance, start, end: for each row of docs and item in it, the nearest occurrence."""
     spark = docs.sparkSession
     own = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_chars))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = None
     for block in range(blocks):
         part = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
@@ -184,9 +184,10 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, with the columns of docs, which must be a stored table."""
-    hit = saved(find_items(docs, items, **options).select(F.col("row").alias("__row")).distinct())
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(hit, "__row", "left_anti").select(*docs.columns)
+    """The documents that hold no item, with the columns of docs."""
+    own = numbered(docs, "__row")
+    hit = saved(find_items(own, items, row="__row", **options).select(F.col("row").alias("__row")).distinct())
+    return own.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

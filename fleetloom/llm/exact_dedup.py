@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lower_ascii, read, saved
+from .common import lower_ascii, numbered, read, saved
 
 HOT_SHARE = 1000
 KEY_CHARS = 24
@@ -29,7 +29,7 @@ def _groups(docs: DataFrame, id_col: str, text: str, keep: str, hot_share: int)
     best = {"min": F.min, "max": F.max}[keep]
     spark = docs.sparkSession
     norm = lambda c: lower_ascii(F.coalesce(c, F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.sha2(norm(F.col(text)), 256).alias("text_sha256"), F.struct(*docs.columns).alias("doc"))
+    rows = numbered(docs, "__row").select(F.col(id_col).alias("doc_id"), F.col("__row").alias("row"), F.sha2(norm(F.col(text)), 256).alias("text_sha256"), F.struct(*docs.columns).alias("doc"))
     index = saved(rows.select("doc_id", "row", "text_sha256"))
     total = index.count()
     hot = F.broadcast(saved(index.groupBy("text_sha256").count().where(F.col("count") > total / hot_share).select("text_sha256")))
@@ -54,9 +54,7 @@ def _groups(docs: DataFrame, id_col: str, text: str, keep: str, hot_share: int)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: str = "min", hot_share: int = HOT_SHARE) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs. keep: min or max.
-
-    docs must be a stored table, as its rows are numbered more than once."""
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs. keep: min or max."""
     done = _groups(docs.select(id_col, text), id_col, text, keep, hot_share)
     return done.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 

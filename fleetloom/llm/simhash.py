@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, read, saved
+from .common import LOWER, UPPER, numbered, read, saved
 from .components import components
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -361,12 +361,14 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, tables: list) -> np.ndarray:
     return (np.arange(len(tables)) << (12 + size)) | (code << size) | words[:, 1::2]
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, row: str | None = None) -> DataFrame:
     """row, doc_id, component (smallest row number of those alike, directly or through others) of every row of docs.
 
-    docs must be a stored table, as its rows are numbered more than once. recall: the share of pairs just at the
+    row: a stored column that numbers the rows; without one a numbered table is written. recall: the share of pairs just at the
     similarity that is found; more alike pairs are found more surely. What is found is verified exactly."""
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    if row is None:
+        docs, row = numbered(docs.select(id_col, text), "__row"), "__row"
+    own = docs.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     prints = saved(own.select("row", "doc_id", wide_fingerprints(shingle)(F.col("text")).alias("p")).select("row", "doc_id", "p.*"))
     distinct = saved(prints.groupBy("lo", "hi").agg(F.min("row").alias("id")))
     most = most_bits(similarity)
@@ -431,10 +433,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with the columns of docs."""
-    groups = saved(near_duplicates(docs, **options))
+    own = numbered(docs, "__row")
+    groups = saved(near_duplicates(own, row="__row", **options))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     goes = groups.join(groups.groupBy("component").agg(F.min_by("row", order).alias("keep")), "component").where("row <> keep").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(saved(goes), "__row", "left_anti").select(*docs.columns)
+    return own.join(saved(goes), "__row", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

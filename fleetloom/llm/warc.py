@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, scratch_dir
+from .common import numbered, read, saved, scratch_dir
 
 FIRST, CRLF = "WARC/1.0\r\n", "\r\n"
 CHUNK_CHARS = 65536
@@ -32,8 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def record_table(pages: DataFrame, *, chunk_chars: int = CHUNK_CHARS, min_revisit: int = 1000) -> DataFrame:
-    """rid, page_id, url, digest, refers (rid), number (from 1), last, total (bytes), chunk. pages must be a stored table, as its rows are numbered twice."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("rid"))
+    """rid, page_id, url, digest, refers (rid), number (from 1), last, total (bytes), chunk."""
+    rows = numbered(pages.select("page_id", "url", "html"), "rid").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "rid")
     rows = rows.withColumns({"total": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
     index = saved(rows.where(F.col("total") >= min_revisit).select("rid", "page_id", "total", "digest", F.sha2("html", 256).alias("sha")))
     order = F.struct(F.col("page_id").isNotNull(), "page_id", -F.col("rid"))

@@ -260,6 +260,32 @@ def test_equal_fingerprints_are_compared_among_themselves(spark, monkeypatch):
     assert found[1] == found[2] != found[0]
 
 
+def test_row_numbers_hold_when_splits_change(spark, monkeypatch):
+    """Each written table is followed by other splits, as when an executor comes or goes."""
+    item = "the benchmark item that no training text may hold in any place at all"
+    rows = [(i, f"text {i} of its own {item if i % 20 == 3 else ''}" if i % 2 else "one and the same text") for i in range(400)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
+    items = saved(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def then_other_splits(df, path=None):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        done = saved(df, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        return done
+
+    for module in (decontaminate, exact_dedup):
+        monkeypatch.setattr(module, "saved", then_other_splits)
+    try:
+        left = {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()}
+        assert left == {i for i, t in rows if item not in t}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        stay = sorted(r.doc_id for r in exact_dedup.drop_exact_copies(docs).collect())
+        assert stay == [0, *range(1, 400, 2)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
