@@ -54,7 +54,7 @@ COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_STRAY = 0.7, 1.0, 0.5, 9.0
 PIECE = 1 << 20
 
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
-#: Three letters set apart by single spaces or signs begin a spaced word; the count of one-letter tokens tells where to look.
+#: Three letters set apart by single spaces or signs begin a spaced word.
 REPEATED = re.compile(r"(.)\1\1")
 TRIPLE = re.compile(r"(.)\1\1+")
 DISGUISED = re.compile(r"(.)\1\1|[^\W\d_][\d@$!|+(€£._*-]+[^\W\d_]|[\d@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[\d@$!|+€£]")
@@ -177,11 +177,14 @@ class Restorer:
     def __init__(self, logp: np.ndarray, listed: set[str] | None = None, bound: int = 200_000):
         self.logp, self.listed, self.bound, self.known = logp, listed, bound, {}
 
+    def decoded(self, t: str) -> set[str]:
+        """Words of a disguised stretch, decoded in parts that overlap by a word's length."""
+        return {w for at in range(0, len(t), 400) for w in decode(t[at : at + 480], self.logp).split()}
+
     def restored(self, t: str) -> set[str]:
-        # Words of over 64 characters are in no list, so they aren't decoded.
-        if len(t) > 64:
-            return set()
-        return set(decode(t, self.logp).split()) | ({TRIPLE.sub(r"\1", t), TRIPLE.sub(r"\1\1", t)} if REPEATED.search(t) else set())
+        # Long tokens may hold short words, or be one of many repeats: runs are shortened, and stretches decoded.
+        whole = t if len(t) <= 64 else TRIPLE.sub(r"\1\1\1", t)
+        return self.decoded(whole) | ({TRIPLE.sub(r"\1", t), TRIPLE.sub(r"\1\1", t)} if REPEATED.search(t) else set())
 
     def of(self, token: str) -> tuple[str, ...]:
         core = token.strip(EDGES)
@@ -213,21 +216,17 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         low = text.lower()
         out: set[str] = set()
-        get, single = self.known.get, 0
+        get = self.known.get
         for token in set(low.split()):
             got = get(token)
             if got is None:
                 got = self.of(token)
             if got:
                 out.update(got)
-            if len(token) == 1:
-                single += 1
-        if single >= 3:
-            for m in SPACED.finditer(low):
-                # One letter over and over is no word; the rest is decoded in stretches that overlap by a word's length.
-                if len(set(m[0])) > 3:
-                    for at in range(0, len(m[0]), 400):
-                        out.update(decode(m[0][at : at + 480], self.logp).split())
+        for m in SPACED.finditer(low):
+            # One letter over and over is no word.
+            if len(set(m[0]) - set(SEPARATORS)) > 1:
+                out |= self.decoded(m[0])
         return out if self.listed is None else out & self.listed
 
 

@@ -309,6 +309,15 @@ def test_toxicity_held_out_and_disguised(spark):
     assert toxicity.Restorer(model.logp).words("") == set()
 
 
+def test_long_disguised_tokens_are_restored(spark):
+    logp = toxicity.character_model(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).logp
+    spaced = ".".join("youaresuchastupididiotandshouldgoaway")
+    assert len(spaced) > 64
+    # The letters come back as words of letters only; where words are parted is the model's choice.
+    assert any(w.isalpha() and len(w) > 3 for w in toxicity.Restorer(logp).words(f"and {spaced} end"))
+    assert "idiot" in toxicity.Restorer(logp, {"idiot"}).words("and idi" + "o" * 70 + "t the")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
