@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import lookup, ordered
+from ..operators import folds, lookup, ordered
 from ..sources.adapters import ALERT, ARR, TEL, alerts, arrivals, table, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,7 +300,7 @@ def prior_trip_features(spark, sf_dir):
 SELECT vin, count(*) AS links, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest FROM l GROUP BY vin""")
 def audit_digest(spark, sf_dir):
     line = F.sha2(F.concat_ws("|", F.col("vin").cast("string"), F.col("seq").cast("string"), "evt"), 256)
-    return telemetry(spark, sf_dir).groupBy("vin").agg(F.count(F.lit(1)).alias("links"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    return folds.digests(telemetry(spark, sf_dir).select("vin", line.alias("line")), "vin", "line")
 
 
 # Scalars

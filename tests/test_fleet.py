@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from oracle import DATA, same
 from pyspark.sql import functions as F
 
 from fleetloom.functions import columns as C
-from fleetloom.operators import lookup, ordered
+from fleetloom.operators import folds, lookup, ordered
 from fleetloom.plans import fleet
 
 
@@ -55,6 +56,16 @@ def test_geohash(spark):
     assert df.select(C.geohash(F.col("a"), F.col("b"), 11)).first()[0] == "u4pruydqqvj"
 
 
+def test_digests_hold_no_list_of_lines(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, "z"), (1, "a"), (1, "a"), (None, "n")], "vin int, line string")
+    got = folds.digests(rows, "vin", "line")
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {(r.vin, r.links, r.digest) for r in got.collect()} == {(1, 3, sha("a\na\nb")), (2, 1, sha("z")), (None, 1, sha("n"))}
+    assert "collect_list" not in fleet.QUERIES["audit_digest"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_empty_inputs(spark):
     t = spark.createDataFrame([], "vin long, ts timestamp_ntz, seq long, speed_c long, state string, odo_c long, soc int, step_c long")
     assert ordered.trips(t).count() == 0 and ordered.charge_sessions(t).count() == 0
