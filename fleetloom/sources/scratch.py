@@ -7,14 +7,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests on one machine), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder of this application below ``spark.checkpoint.dir``; where that is unset, on one machine only, below the warehouse."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
 
-def stored(rows: DataFrame) -> DataFrame:
+def stored(rows: DataFrame, path: str | None = None) -> DataFrame:
     """Write rows and read them again, so that lost executors cost a read and no recomputation."""
-    path = folder(rows.sparkSession)
-    rows.write.parquet(path)
+    path = path or folder(rows.sparkSession)
+    rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored here; call it when no result that reads these tables is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
