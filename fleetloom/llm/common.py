@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder as scratch_dir
+from ..sources.scratch import stored as saved
+
+__all__ = ["LOWER", "UPPER", "WORD", "fresh", "join_by_key", "lower_ascii", "numbered", "read", "saved", "scratch_dir", "translated"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -19,29 +22,37 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def lower_ascii(c: Column) -> Column:
-    """Lower-case A-Z only, whatever the locale."""
-    return F.translate(c, UPPER, LOWER)
-
+    """Lower-case A-Z only, whatever the locale. Of plain ASCII, lower() says the same and is sooner done."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(translated(c))
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared ``spark.checkpoint.dir``.
 
-    A cluster names that folder; where it is unset (tests on one machine), one below
-    the warehouse is used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def translated(c: Column) -> Column:
+    """The same for short strings."""
+    return F.translate(c, UPPER, LOWER)
 
 
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or scratch_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df as a written table with a number of each row in column name: numbers made anew in each scan would follow the splits of that scan."""
     return saved(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left with the columns of right, which has one row a key; left is a stored table. how: inner or left.
+
+    Keys with more than one in share of the rows of left would fill a task of a shuffled join. There are fewer than share
+    of them, so their rows of right are broadcast."""
+    least = left.count() / share
+    often = saved(left.groupBy(key).count().where(F.col("count") > least).select(key))
+    if often.isEmpty():
+        return left.join(right, key, how)
+    few = saved(right.join(F.broadcast(often), key, "left_semi"))
+    seldom = left.join(F.broadcast(often), key, "left_anti").join(right, key, how)
+    return seldom.unionByName(left.join(F.broadcast(often), key, "left_semi").join(F.broadcast(few), key, how))
