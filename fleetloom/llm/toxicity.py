@@ -3,13 +3,14 @@
 Noisy-channel decoding: a token that may be disguised (digits or signs between letters, letters repeated three times or
 more, single letters set apart by spaces or dots) is a lattice of characters, each with what it may stand for and what
 that costs. Viterbi decoding under a character trigram model, counted over all documents, restores the likeliest word.
-The words of a document, as they stand and restored, are then looked up in a word list learnt from labels; the strongest
-word decides the score.
+The words of a document, as they stand and restored, are then looked up in a word list learnt from labels; a logistic
+regression of the strongest word's weight and of the sum of the others', fitted on the same labels, gives the score.
 
 Passes: 1. character trigrams of all texts, added up in each task, then by Spark; the table is bounded by the alphabet.
-2. document frequencies of words in a bounded sample of labelled rows. 3. scores of all texts.
+2. document frequencies of words in a bounded sample of labelled rows. 3. the evidence in the same rows, for the
+regression. 4. scores of all texts.
 
-Defined cases: null and empty texts have no words and get the score of the base rate; a null id counts as an empty
+Defined cases: null and empty texts have no words and get the score of texts without listed words; a null id counts as an empty
 string in the choice of held-out rows; repeated rows get equal scores; without labels of both kinds all scores are the
 base rate (0.5 without labels). Extra columns are not read; labels, language and source are no input of a score.
 """
@@ -20,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -33,12 +34,10 @@ from .common import read, saved
 
 #: At most so many labelled rows are learnt from, those with the smallest hash of their id (about 16 bytes each are broadcast).
 MAX_LABELS = 30_000
-#: At most so many words make the word list, those with the strongest evidence.
-MAX_WORDS = 20_000
-#: Least log-likelihood ratio (G squared) of a listed word; chance alone passes one word in a million.
-LEAST_EVIDENCE = 24.0
+#: Least log-likelihood ratio (G squared) of a listed word; chance alone passes one word in 16,000, which the regression makes up for.
+LEAST_EVIDENCE = 16.0
 #: Least weight (log of the ratio of rates) of a listed word.
-LEAST_WEIGHT = 3.0
+LEAST_WEIGHT = 2.0
 #: Beginnings of words, of these lengths, are words of the list too, so that a word's inflections are known together.
 STEMS = (4, 6)
 THRESHOLD = 0.7
@@ -132,6 +131,23 @@ class Model:
         self.logp = np.log((n + weight * two) / (n.sum(2, keepdims=True) + weight)).astype(np.float32)
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """What each run of a character in a token may stand for, and what that costs."""
+    out = []
+    for c, run in groupby(token):
+        k = len(list(run))
+        if c.isalpha():
+            ways = [(c, (0.0, 3 * COST_REPEAT, COST_REPEAT)[min(k, 3) - 1])] + ([(c * 2, 0.0 if k == 2 else COST_REPEAT)] if k > 1 else [])
+        elif c in LEET:
+            ways = [(x * min(j, k), COST_LEET * (1 + (j < k))) for x in LEET[c] for j in ({1, k} if k < 3 else {1, 2})] + [("", COST_STRAY)] * (c in "!|$+(")
+        elif c in SEPARATORS:
+            ways = [("", COST_SEPARATOR), (" ", COST_SEPARATOR)]
+        else:
+            ways = [(" ", 0.0)]
+        out.append(ways)
+    return out
+
+
 def decode(token: str, logp: np.ndarray) -> str:
     """The likeliest words for a disguised token, by Viterbi over its lattice; states are the last two symbols."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -152,16 +168,7 @@ def decode(token: str, logp: np.ndarray) -> str:
                     after[x, y] = (s, p)
         best = after
 
-    for c, run in groupby(token):
-        k = len(list(run))
-        if c.isalpha():
-            ways = [(c, (0.0, 3 * COST_REPEAT, COST_REPEAT)[min(k, 3) - 1])] + ([(c * 2, 0.0 if k == 2 else COST_REPEAT)] if k > 1 else [])
-        elif c in LEET:
-            ways = [(x * min(j, k), COST_LEET * (1 + (j < k))) for x in LEET[c] for j in ({1, k} if k < 3 else {1, 2})] + [("", COST_STRAY)] * (c in "!|$+(")
-        elif c in SEPARATORS:
-            ways = [("", COST_SEPARATOR), (" ", COST_SEPARATOR)]
-        else:
-            ways = [(" ", 0.0)]
+    for ways in lattice(token):
         extend(ways)
     (_, path) = max(((s + (float(logp[a, b, 0]) if b else 0.0), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
     out = []
@@ -206,7 +213,7 @@ class Restorer:
     def places(self, text: str) -> Iterator[tuple[str, int]]:
         """Each word with a hash of the token and the one that follows, where the token stands last; each stem with a hash of the token."""
         tokens = text.lower().split()
-        for token, after in dict(zip(tokens, [*tokens[1:], ""], strict=True)).items():
+        for token, after in dict(zip(tokens, [*tokens[1:], ""], strict=False)).items():
             got = self.known.get(token)
             place = zlib.crc32(f"{token} {after}".encode("utf-8", "surrogatepass"))
             own = zlib.crc32(token.strip(EDGES).encode("utf-8", "surrogatepass"))
@@ -240,8 +247,10 @@ def character_model(docs: DataFrame, text: str = "text") -> Model:
     return Model(grams["gram"].to_numpy(), grams["n"].to_numpy())
 
 
-def word_list(docs: DataFrame, labels: DataFrame, model: Model, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labels: int = MAX_LABELS, max_words: int = MAX_WORDS, least: float = LEAST_EVIDENCE) -> tuple[dict[str, float], float]:
-    """Weights of listed words and the log odds of the base rate, from labels (id_col, label)."""
+def word_list(docs: DataFrame, labels: DataFrame, model: Model, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labels: int = MAX_LABELS, least: float = LEAST_EVIDENCE) -> tuple[dict[str, float], float, DataFrame]:
+    """Weights of listed words, the log odds of the base rate and the labels learnt from (id, y), from labels (id_col, label).
+
+    The list has no cap: each of its words stands in several toxic places of the bounded sample."""
     spark = docs.sparkSession
     marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
     marks = saved(marks.orderBy(F.xxhash64("id"), "id").limit(max_labels))
@@ -273,7 +282,7 @@ def word_list(docs: DataFrame, labels: DataFrame, model: Model, *, id_col: str =
     toxic, clean = (sum(r["n"] for r in sums if r["y"] == y) for y in (1, 0))
     prior = math.log((toxic + 0.5) / (clean + 0.5))
     if not toxic or not clean:
-        return {}, prior
+        return {}, prior, marks
     places = learnt.where("word <> ''").groupBy("word", "place").agg(F.min("y").alias("y"))
     counts = places.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
     rate = toxic / (toxic + clean)
@@ -281,26 +290,68 @@ def word_list(docs: DataFrame, labels: DataFrame, model: Model, *, id_col: str =
     part = lambda x, expected: F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
     evidence = 2 * (part(t, n * rate) + part(c, n * (1 - rate)))
     weight = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
-    listed = counts.withColumns({"g": evidence, "w": weight}).where((F.col("g") >= least) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.col("g").desc(), "word").limit(max_words).collect()
-    return {r["word"]: r["w"] for r in listed}, prior
+    listed = counts.withColumns({"g": evidence, "w": weight}).where((F.col("g") >= least) & (F.col("w") >= LEAST_WEIGHT)).select("word", "w").collect()
+    return {r["word"]: r["w"] for r in listed}, prior, marks
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """docs with toxic_score (0 to 1) and toxic_predicted (0 or 1), learnt from all of labels that aren't held out."""
-    spark = docs.sparkSession
-    model = character_model(docs, text)
-    weights, prior = word_list(docs, labels.where(~held_out(F.col(id_col))), model, id_col=id_col, text=text, **options)
-    shared = spark.sparkContext.broadcast((model.logp, weights, prior))
+def evidence_of(weights: dict[str, float], words: set[str]) -> tuple[float, float]:
+    """The weight of the strongest word, and the logarithm of one more than the sum of the others'."""
+    found = sorted((weights[w] for w in words), reverse=True)
+    return (found[0], math.log1p(sum(found[1:]))) if found else (0.0, 0.0)
+
+
+def evidence_udf(spark: SparkSession, model: Model, weights: dict[str, float]):
+    shared = spark.sparkContext.broadcast((model.logp, weights))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        logp, weights, prior = shared.value
+    @F.pandas_udf("top double, rest double")
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        logp, weights = shared.value
         restorer = Restorer(logp, set(weights))
         for texts in batches:
-            sums = [prior + max((weights[w] for w in restorer.words(t)), default=-1.0) for t in texts]
-            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in sums], dtype=float)
+            yield pd.DataFrame([evidence_of(weights, restorer.words(t)) for t in texts], columns=["top", "rest"], dtype=float)
+
+    return evidence
+
+
+def calibrated(cells: Iterable[tuple[float, float, int, int]], ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression of (top, rest, label, count) by Newton's method; more evidence never lowers a score."""
+    data = np.array([tuple(c) for c in cells], float).reshape(-1, 4)
+    use = [0, 1, 2]
+    while True:
+        x = np.column_stack([np.ones(len(data)), data[:, 0], data[:, 1]])[:, use]
+        y, n, beta = data[:, 2], data[:, 3], np.zeros(len(use))
+        prior = ridge * np.array([0.0, 1.0, 1.0])[use]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(prior + 1e-9), x.T @ (n * (y - p)) - prior * beta)
+            beta = beta + np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-9:
+                break
+        wrong = [k for k, b in zip(use, beta, strict=True) if k and b < 0]
+        if not wrong:
+            break
+        use.remove(wrong[-1])
+    out = np.zeros(3)
+    out[use] = beta
+    return out
 
-    scored = docs.withColumn("toxic_score", score(F.coalesce(F.col(text), F.lit(""))))
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """docs with toxic_score (0 to 1) and toxic_predicted (0 or 1), which replace columns of these names, learnt from all of labels that aren't held out."""
+    spark = docs.sparkSession
+    model = character_model(docs, text)
+    weights, prior, marks = word_list(docs, labels.where(~held_out(F.col(id_col))), model, id_col=id_col, text=text, **options)
+    if weights:
+        evidence = evidence_udf(spark, model, weights)
+        seen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(marks), "id").select("y", evidence("text").alias("e"))
+        # Cells of a grid, so what comes to the driver doesn't grow with the rows.
+        cells = seen.groupBy(F.round("e.top", 1).alias("top"), F.round("e.rest", 1).alias("rest"), "y").count().collect()
+        bias, top, rest = (float(b) for b in calibrated((r["top"], r["rest"], r["y"], r["count"]) for r in cells))
+        e = evidence(F.coalesce(F.col(text), F.lit("")))
+        logit = F.lit(bias) + F.lit(top) * F.col("toxic_score.top") + F.lit(rest) * F.col("toxic_score.rest")
+        scored = docs.withColumn("toxic_score", e).withColumn("toxic_score", 1 / (1 + F.exp(-logit)))
+    else:
+        scored = docs.withColumn("toxic_score", F.lit(1 / (1 + math.exp(-prior))))
     return scored.withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
 
 
