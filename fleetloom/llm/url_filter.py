@@ -7,7 +7,7 @@ a URL's own tokens fetch candidates, and only their regular expressions run. Rul
 candidates of every URL.
 
 Defined cases: a null URL or one without "://" has empty host and path, fits no rule and gets the default verdict.
-Repeated rows give repeated results. Extra columns are kept.
+Repeated rows give repeated results; of rules of equal rank and name the first decides. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read
+from .common import lower_ascii, read, saved
 
 TOKEN = r"[a-z0-9]+"
-#: A rule set of at most this many rules is broadcast (about 0.5 KB a rule); larger ones are joined by token.
+#: At most so many rules are broadcast at once (about 0.5 KB a rule).
 MAX_BROADCAST_RULES = 100_000
+RANKED = "struct<host_rule: long, first: long, second: long, name: string, verdict: string>"
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,8 @@ def index_rules(subjects: DataFrame, rules: list[Rule]) -> dict[str | None, list
     return index
 
 
-def _judge(rules: list[Rule], index: dict, subject: str, compiled: dict) -> tuple[str | None, str | None, str | None]:
+def _judge(rules: list[Rule], index: dict, subject: str, compiled: dict) -> tuple:
+    """Rank (three numbers), name and verdict of the rule that decides, nulls if none fits."""
     wanted = set(re.findall(TOKEN, re.sub("[A-Z]", lambda m: m[0].lower(), subject)))
     best = None
     for token in (None, *wanted):
@@ -119,42 +121,45 @@ def _judge(rules: list[Rule], index: dict, subject: str, compiled: dict) -> tupl
                     compiled[i] = re.compile(rules[i].regex, re.S)
                 if compiled[i].search(subject):
                     best = rules[i]
-    if best is None:
-        return None, None, None
-    return (best.name, None, best.verdict) if best.is_host else (None, best.name, best.verdict)
+    return (None,) * 5 if best is None else (*best.rank, best.verdict)
+
+
+def _judged(parts: DataFrame, rules: list[Rule], index: dict) -> DataFrame:
+    """parts with the better of its best rule so far and of that of a block of rules."""
+    shared = parts.sparkSession.sparkContext.broadcast((rules, index))
+
+    @F.pandas_udf(RANKED)
+    def judge(subjects: pd.Series) -> pd.DataFrame:
+        compiled: dict = {}
+        found = [_judge(*shared.value, s, compiled) for s in subjects]
+        return pd.DataFrame(found, columns=["host_rule", "first", "second", "name", "verdict"]).astype({c: "Int64" for c in ("host_rule", "first", "second")})
+
+    rank = lambda c: F.struct(*[F.col(f"{c}.{f}") for f in ("host_rule", "first", "second", "name")])
+    now = parts.withColumn("now", judge("subject"))
+    better = F.col("best.name").isNull() | (F.col("now.name").isNotNull() & (rank("now") > rank("best")))
+    return now.withColumn("best", F.when(better, F.col("now")).otherwise(F.col("best"))).drop("now")
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[Rule] | None = None, *, url: str = "url", default: str = "allow", max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Add host, path, rule (of the host rule that decides, else null), pattern (likewise) and verdict to pages."""
+    """Add host, path, rule (of the host rule that decides, else null), pattern (likewise) and verdict to pages.
+
+    Columns of pages with these names are replaced. Rules are broadcast in blocks of max_broadcast; each block is judged
+    by the same function, and the best rule of all blocks decides, so the blocks don't show in the result."""
     rules = list(default_rules() if rules is None else rules)
-    spark = pages.sparkSession
-    base = pages.withColumn("__url", F.col(url))
+    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("own"), F.col(f"`{url}`").alias("__url"))
     host, path, subject = url_parts(F.col("__url"))
-    parts = base.withColumns({"__host": host, "__path": path, "subject": subject}).drop("__url")
+    parts = own.select("own", host.alias("host"), path.alias("path"), subject.alias("subject"), F.lit(None).cast(RANKED).alias("best"))
     index = index_rules(parts.select("subject"), rules)
-    if len(rules) <= max_broadcast:
-        shared = spark.sparkContext.broadcast((rules, index))
-
-        @F.pandas_udf("rule string, pattern string, verdict string")
-        def judge(subjects: pd.Series) -> pd.DataFrame:
-            compiled: dict = {}
-            return pd.DataFrame([_judge(*shared.value, s, compiled) for s in subjects], columns=["rule", "pattern", "verdict"])
-
-        judged = parts.withColumn("__j", judge("subject"))
-    else:
-        table = spark.createDataFrame([(t, i, r.is_host, int(r.verdict == "allow"), len(r.name), r.name, r.verdict, r.regex) for t, ids in index.items() for i in ids for r in [rules[i]]], "token string, id long, is_host boolean, allows int, size int, name string, verdict string, regex string")
-        urls = parts.select("subject").distinct()
-        tokens = urls.select("subject", F.explode(F.array_distinct(tokens_of(F.col("subject")))).alias("token"))
-        always = table.where("token is null").drop("token")
-        hits = tokens.join(table, "token").drop("token").unionByName(urls.crossJoin(F.broadcast(always)) if None in index else tokens.join(table, "token").drop("token").limit(0))
-        hits = hits.where(F.expr("subject rlike regex"))
-        weight = F.struct("is_host", F.when(F.col("is_host"), 0).otherwise(F.col("allows")).alias("a"), "size", "name")
-        best = hits.groupBy("subject").agg(F.max_by(F.struct(F.when(F.col("is_host"), F.col("name")).alias("rule"), F.when(~F.col("is_host"), F.col("name")).alias("pattern"), "verdict"), weight).alias("__j"))
-        judged = parts.join(best, "subject", "left")
-    return judged.select(
-        *[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")],
-        F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__j.rule").alias("rule"), F.col("__j.pattern").alias("pattern"),
-        F.coalesce(F.col("__j.verdict"), F.lit(default)).alias("verdict"),
+    step = max(1, max_broadcast)
+    for at in range(0, len(rules), step):
+        block = rules[at : at + step]
+        mine = {t: [i - at for i in ids if at <= i < at + len(block)] for t, ids in index.items()}
+        parts = _judged(parts if not at else saved(parts), block, {t: ids for t, ids in mine.items() if ids})
+    is_host = F.col("best.host_rule") == 1
+    return parts.select(
+        *[F.col("own").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")],
+        "host", "path", F.when(is_host, F.col("best.name")).alias("rule"), F.when(~is_host, F.col("best.name")).alias("pattern"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
     )
 
 
