@@ -2,7 +2,8 @@
 
 Each version of each path is addressed by the SHA-256 of its text. The ledger, a table in a shared folder, holds one
 row for every blob and rule version that was scanned, with the spans found. A scan takes only pairs that the ledger
-lacks, one copy of each blob, appends them, and joins the spans back to all paths.
+lacks, one copy of each blob, appends them, and joins the spans back to all paths. What is appended depends on blob and
+rule version alone, so a pair that is there twice (a job that was run again, two scans at once) is read as one.
 
 Defined cases: a null text is an empty one. A null path or repeated rows are kept as they are. A text without findings
 has an empty list of spans. Extra columns of the input are not read.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read, saved, scratch_dir
+from .common import join_by_key, read, saved, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,7 @@ def scan_versions(versions: DataFrame, ledger: str, *, path: str = "path", text:
     index = saved(hashed.select("path", "sha"))
     spark.createDataFrame([], schema).write.mode("append").parquet(ledger)  # so that it can be read
     known = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version).select("sha")
+    # The files of the ledger as they are now: what another scan appends meanwhile is not seen, and does no harm.
     # One copy of each unseen blob; the partial aggregate keeps one of each before the shuffle.
     unseen = hashed.join(known, "sha", "left_anti").groupBy("sha").agg(F.first("text").alias("text"))
     found = scan_blobs(unseen, kinds)
@@ -88,8 +90,8 @@ def scan_versions(versions: DataFrame, ledger: str, *, path: str = "path", text:
     found = spark.read.schema(found.schema).parquet(pending)
     new = index.select("sha").distinct().join(known, "sha", "left_anti").join(found, "sha", "left")
     new.select("sha", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.array().cast(T.ArrayType(SPAN))).alias("spans")).write.mode("append").parquet(ledger)
-    spans = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
-    return index.join(spans, "sha").select("path", "sha", "spans")
+    spans = spark.read.schema(schema).parquet(ledger).where(F.col("rule_version") == rule_version).select("sha", "spans").dropDuplicates(["sha"])
+    return join_by_key(index, spans, "sha").select("path", "sha", "spans")
 
 
 def spans_text(spans: Column) -> Column:
