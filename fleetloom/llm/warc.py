@@ -1,53 +1,100 @@
 """WARC archives by a chunked record table.
 
-Payloads become rows of (record identifier, chunk number, chunk); each chunk is a WARC record of its own, and the
-chunks of one payload are a segmented record (WARC-Segment-Number, continuation records), so neither writing nor
-reading handles more than a chunk besides the source row. Spark's text writer makes the archives: a row is a record,
+Payloads become rows of (record identifier, chunk number, chunk). A task slides over the bytes of a payload where they
+lie in the Arrow batch: digests are carried from chunk to chunk, and chunks are given out a few at a time, so besides the
+source row no whole payload is ever built. Each chunk is a WARC record of its own, and the chunks of one payload are a
+segmented record (WARC-Segment-Number, continuation records). Spark's text writer makes the archives: a row is a record,
 the line separator its end. Reading splits at the first header line, so archives of any size are read in parallel.
-Chunks are cut so that no chunk holds that line. SHA-1 digests of segmented payloads are carried from chunk to chunk
+Chunks are cut so that none holds that line. SHA-1 digests of segmented payloads are carried from chunk to chunk
 over rows sorted by record and number; a record that fits one chunk is digested where it is read.
 
-Equal payloads of at least min_revisit bytes are stored once, in the record with the largest page id; the others
-become revisit records that refer to it.
+Equal payloads of at least min_revisit bytes (told by SHA-256) are stored once, in the record with the largest page id;
+the others become revisit records that refer to it.
 
-Defined cases: a null html is an empty payload; a null url is an empty target; null page ids come before all others,
-and a revisit of a record with a null id refers to null; repeated rows are records of their own. Extra columns are
-not read.
+Defined cases: a null html is an empty payload; a null url is an empty target; page ids are whole numbers, null ones come
+before all others, and a revisit of a record with a null id refers to null; repeated rows are records of their own. Extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, read, saved, scratch_dir
+from .common import join_by_key, read, saved, scratch_dir
 
 FIRST, CRLF = "WARC/1.0\r\n", "\r\n"
-CHUNK_CHARS = 65536
+CHUNK_BYTES = 65536
+#: Bytes of chunks that a task gives out at once.
+HELD_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
-
-
-def record_table(pages: DataFrame, *, chunk_chars: int = CHUNK_CHARS, min_revisit: int = 1000) -> DataFrame:
+HEADER = re.compile(rb"WARC/1\.0\r\n")
+RECORDS = "rid long, page_id long, url string, digest string, sha string, total long, number int, last boolean, chunk string"
+
+
+def cuts(data: memoryview, chunk_bytes: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the chunks of UTF-8 bytes: of at most chunk_bytes, of whole characters, none with a first header line."""
+    marks = (m.start() + 2 for m in HEADER.finditer(data))
+    at, mark, size = 0, next(marks, len(data)), len(data)
+    while at < size or not size:
+        end = min(at + chunk_bytes, mark)
+        while end < size and data[end] & 0xC0 == 0x80:
+            end -= 1
+        yield at, end
+        if end == mark:
+            mark = next(marks, size)
+        at = end
+        if not size:
+            return
+
+
+def chunker(chunk_bytes: int):
+    names = ["rid", "page_id", "url", "digest", "sha", "total", "number", "last", "chunk"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+            rows.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        for batch in batches:
+            for rid, page, url, html in zip(*batch.columns, strict=True):
+                data = memoryview(html.as_buffer() or b"")
+                one, two, size = hashlib.sha1(), hashlib.sha256(), len(data)
+                for at in range(0, size, HELD_BYTES):
+                    part = data[at : at + HELD_BYTES]
+                    one.update(part)
+                    two.update(part)
+                own = (rid.as_py(), page.as_py(), url.as_py(), one.hexdigest(), two.hexdigest(), size)
+                for number, (at, end) in enumerate(cuts(data, chunk_bytes), 1):
+                    rows.append((*own, number, end == size, bytes(data[at:end])))
+                    if (held := held + end - at) > HELD_BYTES:
+                        yield out()
+                        held = 0
+        yield out()
+
+    return run
+
+
+def record_table(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, min_revisit: int = 1000) -> DataFrame:
     """rid, page_id, url, digest, refers (rid), number (from 1), last, total (bytes), chunk."""
-    rows = numbered(pages.select("page_id", "url", "html"), "rid").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "rid")
-    rows = rows.withColumns({"total": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
-    index = saved(rows.where(F.col("total") >= min_revisit).select("rid", "page_id", "total", "digest", F.sha2("html", 256).alias("sha")))
+    own = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = saved(own.mapInArrow(chunker(chunk_bytes), RECORDS))
+    index = saved(rows.where((F.col("number") == 1) & (F.col("total") >= min_revisit)).select("rid", "page_id", "sha"))
     order = F.struct(F.col("page_id").isNotNull(), "page_id", -F.col("rid"))
     groups = index.groupBy("sha").agg(F.max_by(F.col("rid"), order).alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = index.join(groups, "sha").where("rid <> refers").select("rid", "refers")
-    rows = rows.join(saved(again), "rid", "left")
-    # Cut inside every first header line, then by length.
-    cut = F.split("html", r"(?<=WA)(?=RC/1\.0\r\n)", -1)
-    chunks = F.flatten(F.transform(cut, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))))
-    rows = rows.withColumn("chunks", F.when(F.col("refers").isNotNull(), F.array(F.lit(""))).when(F.col("total") == 0, F.array(F.lit(""))).otherwise(chunks))
-    rows = rows.withColumn("n", F.size("chunks"))
-    return rows.select("rid", "page_id", "url", "digest", "refers", "total", "n", F.posexplode("chunks").alias("pos", "chunk")).select(
-        "rid", "page_id", "url", "digest", "refers", "total", (F.col("pos") + 1).alias("number"), (F.col("pos") + 1 == F.col("n")).alias("last"), "chunk"
-    )
+    again = saved(join_by_key(index.select("rid", "sha"), groups, "sha").where("rid <> refers").select("rid", "refers"))
+    rows = rows.join(again, "rid", "left").where("refers IS NULL OR number = 1")
+    stored = F.col("refers").isNull()
+    return rows.select("rid", "page_id", "url", "digest", "refers", "total", "number", (F.col("last") | ~stored).alias("last"), F.when(stored, F.col("chunk")).otherwise("").alias("chunk"))
 
 
 def write_archives(records: DataFrame, path: str, *, date: str = DATE) -> None:
@@ -74,11 +121,9 @@ def write_archives(records: DataFrame, path: str, *, date: str = DATE) -> None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """rid, page_id, type, refers (rid), digest (as the header has it), segmented, number, total, content (bytes): a row for each record."""
     raw = spark.read.option("lineSep", CRLF * 2 + FIRST).text(path)
-    at = F.instr("value", CRLF * 2)
     # The head is short; the first record of a file still has its first line.
-    parts = raw.select(F.expr(f"substring(value, 1, instr(value, '\\r\\n\\r\\n') + 1)").alias("head"), F.expr("encode(value, 'UTF-8')").alias("all"))
+    parts = raw.select(F.expr("substring(value, 1, instr(value, '\\r\\n\\r\\n') + 1)").alias("head"), F.expr("encode(value, 'UTF-8')").alias("all"))
     field = lambda n, pattern=r"([^\r]*)": F.nullif(F.regexp_extract("head", rf"(?:^|\r\n){n}: {pattern}", 1), F.lit(""))
-    del at
     rid = lambda n: field(n, r"<urn:record:(\d+):").cast("long")
     content = F.expr("substring(all, octet_length(head) + 3, int(size))")
     parts = parts.withColumn("size", field("Content-Length").cast("long"))
@@ -131,7 +176,7 @@ def payloads(records: DataFrame) -> DataFrame:
     parts = parts.repartition("rid").sortWithinPartitions("rid", "number").mapInArrow(_carry, "rid long, bytes long, seen string")
     heads = saved(records.where("number = 1").select("rid", "page_id", "type", "refers", "digest"))
     stored = saved(whole.unionByName(parts)).join(heads.where("type = 'response'").select("rid", c("page_id").alias("of_page"), c("digest").alias("of_digest")), "rid").withColumnRenamed("rid", "of")
-    full = heads.join(stored, F.coalesce("refers", "rid") == c("of"), "left")
+    full = join_by_key(heads.withColumn("of", F.coalesce("refers", "rid")), stored, "of", "left")
     right = (c("seen") == c("digest")) & (c("of_digest") == c("digest"))
     digest = F.when(F.coalesce(right, F.lit(False)), c("seen")).otherwise(F.raise_error(F.concat(F.lit("digest differs in record "), c("rid").cast("string"))))
     return full.select("page_id", c("bytes").alias("payload_bytes"), digest.alias("payload_digest"), c("type").alias("record_type"), F.when(c("type") == "revisit", c("of_page")).alias("refers_to"))
