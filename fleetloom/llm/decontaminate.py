@@ -9,7 +9,8 @@ verification climbs it, so a hit by chance ends at the first small node that dif
 Items are the stated query set; they are broadcast in blocks of bounded size, and texts are read once for each block.
 
 Defined cases: null and empty texts hold no item; null and empty items are in no text; an item shorter than 1 / rate must
-occur exactly; equal items and repeated rows are all reported. Ids may be null. Extra columns are not read.
+occur exactly; equal items and repeated rows are all reported. Ids may be null and of any type (those of items whole
+numbers or strings). Extra columns are not read, and kept by drop_contaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import numbered, read, saved
+from .common import fresh, numbered, read, saved
 
 RATE = 0.1
 #: Characters of items that are broadcast at once (an automaton of about 100 bytes for each).
 BLOCK_CHARS = 1_000_000
-SCHEMA = "row long, doc_id long, item_id long, distance int, start long, end long"
 
 
 def normal(text: str | None) -> str:
@@ -160,10 +161,13 @@ class Matcher:
 def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, row: str | None = None) -> DataFrame:
     """row (number of the row of docs, or its column row), doc_id, item_id, distance, start, end: for each row of docs and item in it, the nearest occurrence."""
     spark = docs.sparkSession
-    own = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    words = isinstance(items.schema[item_id].dataType, T.StringType)
+    own = items.select(F.col(item_id).cast("string" if words else "long").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     size = own.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_chars))
-    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {'string' if words else 'long'}, distance int, start long, end long"
+    types = [pa.string() if words else pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     found = None
     for block in range(blocks):
         part = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
@@ -172,22 +176,26 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
             for batch in batches:
-                out = []
-                for row, doc, t in zip(*batch.columns, strict=True):
-                    out += [(row.as_py(), doc.as_py(), *hit) for hit in matcher.find(normal(t.as_py()))]
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.record_batch([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=["row", "doc_id", "item_id", "distance", "start", "end"])
-
-        hits = rows.mapInArrow(run, SCHEMA)
+                out = [(i, *hit) for i, t in enumerate(batch.column("text")) for hit in matcher.find(normal(t.as_py()))]
+                at, *cols = list(zip(*out, strict=True)) or [[]] * 5
+                at = pa.array(at, pa.int64())
+                arrays = [batch.column("row").take(at), batch.column("doc_id").take(at), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
+                yield pa.record_batch(arrays, names=["row", "doc_id", "item_id", "distance", "start", "end"])
+
+        hits = rows.mapInArrow(run, schema)
+        if blocks > 1:  # a block's items are let go before the next are broadcast
+            hits = saved(hits)
+            shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with the columns of docs."""
-    own = numbered(docs, "__row")
-    hit = saved(find_items(own, items, row="__row", **options).select(F.col("row").alias("__row")).distinct())
-    return own.join(hit, "__row", "left_anti").select(*docs.columns)
+    row = fresh(docs, "row")
+    own = numbered(docs, row)
+    hit = saved(find_items(own, items, row=row, **options).select(F.col("row").alias(row)).distinct())
+    return own.join(hit, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

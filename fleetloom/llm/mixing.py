@@ -76,19 +76,17 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return joined.withColumn("rate", rate).select("doc_id", "source", "size", "source_size", "target", (whole + extra).alias("copies"))
 
 
-def emit_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as the mix says, and the column copy, from 1."""
-    text, source, doc_id = (F.col(options.pop(k, d)) for k, d in (("text", "text"), ("source", "source"), ("id_col", "doc_id")))
-    seed = options.pop("seed", SEED)
-    own = docs.withColumn("__size", word_count(text))
+def emit_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """docs with each row repeated as the mix says, and the column copy, from 1, which replaces one of that name."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{source}`").alias("source"), F.col(f"`{id_col}`").alias("doc_id"), word_count(F.col(f"`{text}`")).alias("size"))
     # A stored table, so that Spark knows its size when it plans: few sources are broadcast and no text is shuffled.
-    rates = saved(source_targets(own.select(source.alias("source"), F.col("__size").alias("size")), **options))
-    rates = rates.select(F.col("source").alias("__of"), F.col("target").alias("__t"), F.col("source_size").alias("__s"))
-    own = own.join(rates, source.eqNullSafe(F.col("__of")))
-    rate = F.when(F.col("__s") > 0, F.col("__t") / F.col("__s")).otherwise(F.lit(0.0))
-    own = own.withColumn("__r", rate)
-    own = own.withColumn("__n", F.floor("__r").cast("int") + (coin(source, doc_id, F.col("__size"), seed) < F.col("__r") - F.floor("__r")).cast("int"))
-    return own.where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    rates = saved(source_targets(own.select("source", "size"), **options)).withColumnRenamed("source", "of")
+    own = own.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    own = own.withColumn("rate", rate)
+    own = own.withColumn("n", F.floor("rate").cast("int") + (coin(F.col("source"), F.col("doc_id"), F.col("size"), seed) < F.col("rate") - F.floor("rate")).cast("int"))
+    kept = [F.col("own").getField(c).alias(c) for c in docs.columns if c.lower() != "copy"]
+    return own.where("n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

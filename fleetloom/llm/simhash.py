@@ -7,7 +7,8 @@ added). Of 3 differing bits at least two segments get at most one each, so finge
 some pair of segments: 24 bits, at most 36 keys a pair. Buckets of a key are verified by the distance itself.
 
 Equal fingerprints are one row before keys are made. A bucket gives a spanning forest of its links, not all of them;
-buckets over BLOCK rows go to a second step, where each pair of blocks is a task's work, so no bucket is held whole.
+buckets over BLOCK rows get finer keys, with one of four pieces of the third segment, and what is still over BLOCK goes to
+a further step, where each pair of blocks is a task's work, so no bucket is held whole.
 
 ``near_duplicates`` finds documents alike in shingles (5 words, Jaccard 0.8) by the same code: 128-bit fingerprints, keys
 from Golay segments of fixed random bits, as many as the wanted recall needs, then exact similarity of the shingle sets.
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, numbered, read, saved
+from .common import LOWER, UPPER, fresh, join_by_key, numbered, read, saved
 from .components import components
 
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -280,11 +281,31 @@ def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, sh
     return run
 
 
-def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None) -> DataFrame:
-    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; with a share, that of all pairs (see linker)."""
+def finer_keys(members: DataFrame) -> DataFrame:
+    """Four rows (key, id, fp) for each row of a large bucket of 64-bit fingerprints.
+
+    The segment that isn't in the key has at most 3 differing bits, so of its four pieces one is unchanged: it joins the key."""
+    pair = F.shiftright("key", 24)
+    rows = None
+    for k, (at, sizes) in enumerate(((46, (5, 5, 4, 4)), (23, (6, 6, 6, 5)), (0, (6, 6, 6, 5)))):
+        pieces = []
+        for i, n in enumerate(sizes):
+            piece = F.shiftrightunsigned("fp", at + sum(sizes[:i])).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+            pieces.append(F.shiftleft("key", 8).bitwiseOR(F.lit(i << 6).cast("long")).bitwiseOR(piece))
+        part = members.where(pair == k).select(F.explode(F.array(*pieces)).alias("key"), "id", "fp")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; with a share, that of all pairs (see linker).
+
+    finer: gives the rows of buckets over BLOCK keys that part them further and miss no link."""
     schema = f"key long, a long, b long, {', '.join(f'{c} long' for c in fp_columns)}, block long"
     found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, share), schema))
     members = found.where("b is null").withColumnRenamed("a", "id")
+    if finer is not None:
+        return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most, share))
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     # Each block meets each block of its bucket, itself included, in a group of its own.
     pairs = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -310,12 +331,12 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
                 yield pa.record_batch([pa.array(found), pa.array(part[rows]), pa.array(part[rows])], names=["key", "id", "fp"])
 
     keyed = distinct.select("fp").repartition("fp").mapInArrow(keys, "key int, id long, fp long")
-    of = components(links(keyed.select("key", "id", F.col("id").alias("fp")), ["fp"], most))
+    of = components(links(keyed.select(F.col("key").cast("long").alias("key"), "id", F.col("id").alias("fp")), ["fp"], most, finer=finer_keys))
     rooted = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = saved(rooted.join(least, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_by_key(prints, labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def error_rate(similarity: float) -> float:
@@ -367,7 +388,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     row: a stored column that numbers the rows; without one a numbered table is written. recall: the share of pairs just at the
     similarity that is found; more alike pairs are found more surely. What is found is verified exactly."""
     if row is None:
-        docs, row = numbered(docs.select(id_col, text), "__row"), "__row"
+        docs, row = numbered(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "row"), "row"
+        id_col, text = "id", "text"
     own = docs.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     prints = saved(own.select("row", "doc_id", wide_fingerprints(shingle)(F.col("text")).alias("p")).select("row", "doc_id", "p.*"))
     distinct = saved(prints.groupBy("lo", "hi").agg(F.min("row").alias("id")))
@@ -433,11 +455,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id, with the columns of docs."""
-    own = numbered(docs, "__row")
-    groups = saved(near_duplicates(own, row="__row", **options))
+    number = fresh(docs, "row")
+    own = numbered(docs, number)
+    groups = saved(near_duplicates(own, row=number, **options))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    goes = groups.join(groups.groupBy("component").agg(F.min_by("row", order).alias("keep")), "component").where("row <> keep").select(F.col("row").alias("__row"))
-    return own.join(saved(goes), "__row", "left_anti").select(*docs.columns)
+    goes = groups.join(groups.groupBy("component").agg(F.min_by("row", order).alias("keep")), "component").where("row <> keep").select(F.col("row").alias(number))
+    return own.join(saved(goes), number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
