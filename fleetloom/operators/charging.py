@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .folds import fold_sorted
+from .ordered import running_total
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -68,8 +69,9 @@ def soonest(capacity: float, start: float, target: float, power: float, price: n
 
 def share_out(vehicles: DataFrame, chargers: DataFrame) -> DataFrame:
     """Vehicles (vin, depot, soc) dealt in turn, the emptiest first, to the chargers (charger, depot, power) of their depot."""
-    c = chargers.withColumn("__i", F.row_number().over(Window.partitionBy("depot").orderBy("charger")) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("depot")))
-    v = vehicles.withColumn("__r", F.row_number().over(Window.partitionBy("depot").orderBy("soc", "vin")) - 1)
+    one = F.lit(1).cast("long")
+    c = running_total(chargers.withColumn("one", one), "depot", ["charger"], "one").withColumnsRenamed({"before": "__i", "total": "__n"}).drop("one")
+    v = running_total(vehicles.withColumn("one", one), "depot", ["soc", "vin"], "one").withColumnRenamed("before", "__r").drop("one", "total")
     size = c.select("depot", "__n").distinct()
     return v.join(size, "depot").withColumn("__i", F.col("__r") % F.col("__n")).drop("__n", "__r").join(c.drop("__n"), ["depot", "__i"]).drop("__i")
 

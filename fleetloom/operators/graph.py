@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, dist, source: the source (node) at the least distance along edges (a, b, len >= 0, both ways), the smallest at ties.
-
-    Only nodes that the last round brought nearer send along their edges, so work follows the front. Nodes that no
-    source reaches are left out."""
+def _both_ways(edges: DataFrame) -> DataFrame:
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND len IS NOT NULL")
-    e = stored(e.select("a", "b", "len").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "len")).groupBy("a", "b").agg(F.min("len").alias("len")))
-    best = stored(sources.where("node IS NOT NULL").select("node", F.struct(F.lit(0).cast("long").alias("dist"), F.col("node").alias("source")).alias("at"), F.lit(True).alias("fresh")).distinct())
+    return stored(e.select("a", "b", "len").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "len")).groupBy("a", "b").agg(F.min("len").alias("len")))
+
+
+def _spread(e: DataFrame, best: DataFrame) -> DataFrame:
+    """best (node, at, fresh) when no edge of e brings a node nearer; only fresh nodes send along their edges."""
+    best = stored(best)
     while not best.where("fresh").isEmpty():
         front = best.where("fresh").select(F.col("node").alias("a"), "at")
         offers = front.join(e, "a").select(F.col("b").alias("node"), F.struct((F.col("at.dist") + F.col("len")).cast("long").alias("dist"), F.col("at.source").alias("source")).alias("at"))
@@ -24,32 +24,83 @@ def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return best.select("node", "at.dist", "at.source")
 
 
+def _starts(sources: DataFrame) -> DataFrame:
+    return sources.where("node IS NOT NULL").select("node", F.struct(F.lit(0).cast("long").alias("dist"), F.col("node").alias("source")).alias("at"), F.lit(True).alias("fresh")).distinct()
+
+
+def _placed(overlay: DataFrame, fresh) -> DataFrame:
+    return overlay.select("node", F.struct(F.col("dist").cast("long").alias("dist"), "source").alias("at"), fresh.alias("fresh"))
+
+
+def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, dist, source: the source (node) at the least distance along edges (a, b, len > 0, both ways), the smallest at ties.
+
+    Only nodes that the last round brought nearer send along their edges, so work follows the front. Nodes that no
+    source reaches are left out."""
+    return _spread(_both_ways(edges), _starts(sources))
+
+
+def add_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) -> DataFrame:
+    """overlay (node, dist, source) when sources (node) open: only what comes nearer to one of them is looked at."""
+    both = _placed(overlay, F.lit(False)).unionByName(_starts(sources))
+    best = both.groupBy("node").agg(F.min("at").alias("at"), F.min_by("fresh", "at").alias("fresh"))
+    return _spread(_both_ways(edges), best)
+
+
+def remove_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) -> DataFrame:
+    """overlay (node, dist, source) when sources (node) close: their nodes are cleared, and nodes beside these send again."""
+    e = _both_ways(edges)
+    gone = sources.where("node IS NOT NULL").select(F.col("node").alias("source")).distinct()
+    cleared = stored(overlay.join(gone, "source", "left_semi").select("node"))
+    beside = e.join(cleared.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).distinct().withColumn("sends", F.lit(True))
+    kept = overlay.join(cleared, "node", "left_anti").join(beside, "node", "left")
+    return _spread(e, _placed(kept, F.coalesce("sends", F.lit(False))))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether all edges (a, b) lead to a root: no node is both an a and a b, none is an a twice."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to")), F.struct(F.col("b").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.from").alias("from"), F.max("e.to").alias("to"))
+    return nodes.where("`from` + `to` > 1 AND `from` > 0").isEmpty()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component) of every node of edges (a, b) between different nodes, by large and small stars in turn.
+
+    Each step is joins and aggregates over edges; a node with many edges is only an aggregation key and, in joins, one
+    row on the other side. Tables in the shared folder cut the lineage after each round."""
+    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _stars(links):
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "low"), F.struct(F.col("a").alias("b"), "low"))).alias("e"))
+        links = stored(small.select(F.col("e.b").alias("a"), F.col("e.low").alias("b")).where("a <> b").distinct())
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges (a, b), by large and small stars in turn."""
+    """node, component (its smallest node) of every node of edges (a, b), those with an edge to themselves only included."""
     e = stored(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    links = stored(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = links.union(links.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
-        small = stored(small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).distinct())
-        if small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty():
-            break
-        links = small
-    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
+    return nodes.join(roots(e), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
 
+def stop_clusters(stops: DataFrame, *, min_vehicles: int, approved: DataFrame | None = None) -> DataFrame:
+    """component, cells, stops, vehicles of clusters of cells (vin, x, y) that touch, corners included; with lat and lon, their mean over stops.
 
-def stop_clusters(stops: DataFrame, *, min_vehicles: int) -> DataFrame:
-    """component, cells, stops, vehicles of clusters of cells (vin, x, y) that touch, corners included."""
+    approved: cells (x, y) that belong to no cluster."""
     at = F.col("x") * 2**32 + F.col("y")
-    cells = stored(stops.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y", "vin").agg(F.count(F.lit(1)).alias("n")))
+    places = [c for c in ("lat", "lon") if c in stops.columns]
+    stops = stops.where("x IS NOT NULL AND y IS NOT NULL")
+    if approved is not None:
+        stops = stops.join(approved.select("x", "y").distinct(), ["x", "y"], "left_anti")
+    cells = stored(stops.groupBy("x", "y", "vin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in places]))
     spots = cells.select("x", "y").distinct()
     # Half of the eight neighbours and the cell itself: the others are the same links seen from the other end.
     near = spots.select(at.alias("a"), F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])).alias("p")).select("a", "p.x", "p.y")
     edges = near.join(spots, ["x", "y"]).select("a", at.alias("b"))
     of = cells.join(components(edges), at == F.col("node"))
-    found = of.groupBy("component").agg(F.countDistinct("node").alias("cells"), F.sum("n").alias("stops"), F.countDistinct("vin").alias("vehicles"))
+    found = of.groupBy("component").agg(F.countDistinct("node").alias("cells"), F.sum("n").alias("stops"), F.countDistinct("vin").alias("vehicles"), *[(F.sum(c) / F.sum("n")).alias(c) for c in places])
     return found.where(F.col("vehicles") >= min_vehicles)

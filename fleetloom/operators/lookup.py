@@ -1,13 +1,9 @@
-"""Joins by range, nearness and overlap."""
+"""Joins by range and nearness."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .ordered import first_per
-
 
 def range_lookup(rows: DataFrame, bands: DataFrame, at: Column, *, low: str, high: str, value: str, default) -> DataFrame:
     """Add value of the band with low <= at < high. Bands become one row for each whole number, so the join is an equality."""
@@ -19,22 +15,3 @@ def nearest_of(rows: DataFrame, centres: list[tuple[str, float, float]], *, lat:
     """Add city, the first centre at the least squared distance in degrees. Few centres: an expression, no join."""
     ways = [F.struct((F.pow(F.col(lat) - a, 2) + F.pow(F.col(lon) - b, 2)).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("city")) for i, (name, a, b) in enumerate(centres)]
     return rows.withColumn("city", F.least(*ways)["city"])
-
-
-def overlap_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """For each interval of left (key, id, a, b) the interval of right that overlaps it longest, if by at least half."""
-    r = right.select(key, F.col("id").alias("rid"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    met = left.join(r, key).where("a < rb AND ra < b").withColumn("overlap", F.least("b", "rb") - F.greatest("a", "ra"))
-    best = first_per(met, "id", F.col("overlap").desc(), F.col("rid"))
-    return best.where("overlap * 2 >= b - a").select(key, "id", "rid", "overlap")
-
-
-def top_neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """qid, id, rank, cosine of the k nearest of vectors (id, v) to each of a stated, small set of queries (qid, q).
-
-    Spark cuts the ranks above k in each task before the shuffle (a window group limit)."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    cos = dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("v"), F.col("v")))
-    pairs = vectors.join(F.broadcast(queries)).where("id <> qid").select("qid", "id", cos.alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("cosine").desc(), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

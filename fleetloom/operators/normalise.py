@@ -108,5 +108,5 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 
 def dead_letters(rows: DataFrame) -> DataFrame:
-    """oem, error_class, original (its first 65,536 characters, as the contract of a dead letter has it), recv_ts."""
-    return rows.where("error_class IS NOT NULL").select("oem", "error_class", F.substring("payload", 1, KEPT_BYTES).alias("original"), "recv_ts")
+    """oem, error_class, original (the first 65,536 of its bytes, as the contract of a dead letter has it), recv_ts."""
+    return rows.where("error_class IS NOT NULL").select("oem", "error_class", F.substring(F.encode("payload", "UTF-8"), 1, KEPT_BYTES).alias("original"), "recv_ts")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import stored
+
 
 def dedup_verdicts(arrivals: DataFrame, *, key: str = "vin", seq: str = "seq", order: str = "n", window: int = 256) -> DataFrame:
     """Add verdict: new, late, duplicate or stale against the window of sequence numbers below the highest seen."""
@@ -55,8 +57,27 @@ def charge_sessions(samples: DataFrame, *, key: str = "vin", gap_s: int = 30) ->
     return s.groupBy(key, "id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), (F.max_by("soc", F.struct("ts", "seq")) - F.min_by("soc", F.struct("ts", "seq"))).alias("rise"), F.sum(used).alias("energy")).drop("id")
 
 
+def running_total(rows: DataFrame, key: str, order: list[str], count: str) -> DataFrame:
+    """Add before (the sum of count over earlier rows of the key, by order) and total; order and key tell rows apart.
+
+    Rows are range-partitioned by key and order, so a large key takes many partitions; each is summed on its own, and
+    the sums of a key's earlier partitions are added: a row for each key and each partition it touches, about as many as
+    keys and partitions together."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()))
+    of, whole = Window.partitionBy("__key"), Window.partitionBy(key, "__part").orderBy(*order)
+    sums = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.sum(count).alias("__here"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__key", "__of", earlier("__here", of.orderBy("__of")).alias("__before"), F.sum("__here").over(of).alias("total"))
+    met = placed.withColumn("before", earlier(count, whole)).join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
+    return met.select(*rows.columns, (F.col("before") + F.col("__before")).alias("before"), "total")
+
+
 def quantile_by_index(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """The value at index int(p * (n - 1)) of the sorted values of a key: by rank, so that no group is collected."""
-    w = Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.where(F.col("i") == F.floor((F.col("n") - 1) * F.lit(p))).select(key, F.col(value).alias("q"), "n")
+    """key, q, n: the value at index int(p * (n - 1)) of the sorted values of a key, of n that aren't null.
+
+    Equal values are counted before the shuffle, and what is left is numbered in ranges, so no key is one task's work."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("here"))
+    ranked = running_total(counts, key, [value], "here")
+    index = F.floor((F.col("total") - 1) * F.lit(p))
+    return ranked.where((F.col("before") <= index) & (index < F.col("before") + F.col("here"))).select(key, F.col(value).alias("q"), F.col("total").alias("n"))

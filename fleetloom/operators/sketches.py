@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def slot(item: Column, row: Column | int, width: int) -> Column:
     """A hash of item below width, another for each row; the same in any engine that has md5."""
@@ -31,10 +36,16 @@ def estimate(items: DataFrame, item: str, sketch: DataFrame, *, depth: int, widt
     return wanted.join(sketch, ["row", "slot"], "left").groupBy(item).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+def bloom_rate(p: float) -> tuple[float, int]:
+    """(bits an item, hashes) at a false positive rate of p."""
+    bits = -math.log(p) / math.log(2) ** 2
+    return bits, max(1, round(bits * math.log(2)))
+
+
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """(bits, hashes) for n items at a false positive rate of p."""
-    bits = math.ceil(-n * math.log(p) / math.log(2) ** 2)
-    return bits, max(1, round(bits / n * math.log(2)))
+    bits, hashes = bloom_rate(p)
+    return max(1, math.ceil(n * bits)), hashes
 
 
 def bloom(rows: DataFrame, item: str, *, bits: int, hashes: int) -> DataFrame:
@@ -49,3 +60,29 @@ def maybe_members(items: DataFrame, item: str, filter_: DataFrame, *, bits: int,
     b = b.withColumn("word", F.floor(F.col("b") / 32)).join(filter_, "word", "left")
     hit = F.coalesce(F.expr("shiftright(mask, CAST(b % 32 AS INT)) & 1"), F.lit(0))
     return b.groupBy(item).agg(F.min(hit).alias("all")).where("all = 1").select(item)
+
+
+class Rotating:
+    """Two generations of a Bloom filter, each of n items at a false positive rate of p: memory is bounded, the oldest items are forgotten.
+
+    For a fold over arrivals, whose results depend on what came before."""
+
+    def __init__(self, n: int, p: float):
+        self.n, (self.bits, self.hashes) = n, bloom_size(n, p)
+        self.now, self.before, self.items = bytearray(self.bits // 8 + 1), None, 0
+
+    def _places(self, item: str) -> list[int]:
+        h = hashlib.shake_128(item.encode()).digest(4 * self.hashes)
+        return [int.from_bytes(h[i : i + 4], "big") % self.bits for i in range(0, len(h), 4)]
+
+    def seen(self, item: str) -> bool:
+        """Whether item may have come before; if not, it is added."""
+        places = self._places(item)
+        if any(g is not None and all(g[x >> 3] >> (x & 7) & 1 for x in places) for g in (self.now, self.before)):
+            return True
+        if self.items >= self.n:
+            self.before, self.now, self.items = self.now, bytearray(self.bits // 8 + 1), 0
+        for x in places:
+            self.now[x >> 3] |= 1 << (x & 7)
+        self.items += 1
+        return False

@@ -1 +1 @@
-from . import fleet, reports, stateful, ways  # noqa: F401  # each adds its queries
+from . import endpoints, evaluation, fleet, ingest, reports, stateful, ways  # noqa: F401  # each adds its queries

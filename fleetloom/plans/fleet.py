@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import folds, lookup, ordered
+from ..operators import folds, lookup, ordered, vectors
 from ..sources.adapters import ALERT, ARR, TEL, alerts, arrivals, table, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,4 +338,4 @@ p AS (SELECT qid, vec_id AS id, list_sum(list_transform(range(1, len(q) + 1), la
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS rank FROM p QUALIFY rank <= 5""")
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return lookup.top_neighbours(v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q")), v, 5).select("qid", "id", "rank")
+    return vectors.top_neighbours(v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q")), v, 5).select("qid", "id", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..operators import lookup, normalise, ordered, sketches, text_vectors
+from ..operators import normalise, ordered, sketches, text_vectors, vectors
 from ..sources.adapters import ALERT, TEL, alerts, table, telemetry
 from .fleet import ORACLES, query
 
@@ -67,7 +67,7 @@ def dlq_by_class(spark, sf_dir):
 # Sketches
 
 DEPTH, WIDTH = sketches.count_min_size(0.01, 0.01)
-BITS, HASHES = sketches.bloom_size(2000, 0.01)
+PER_ITEM, HASHES = sketches.bloom_rate(0.01)
 
 
 def slot_sql(item: str, row: str, width: int) -> str:
@@ -82,11 +82,15 @@ def count_min(spark, sf_dir):
     return sketches.estimate(t, "vin", sketch, depth=DEPTH, width=WIDTH)
 
 
-@query(f"""WITH b AS (SELECT DISTINCT {slot_sql('o_custkey', 'h', BITS)} AS bit FROM orders, range({HASHES}) AS d(h) WHERE o_orderstatus = 'P' AND o_custkey < 2000)
-SELECT c_custkey AS id FROM (SELECT c_custkey, h, {slot_sql('c_custkey', 'h', BITS)} AS bit FROM customer, range({HASHES}) AS d(h)) WHERE bit IN (SELECT bit FROM b) GROUP BY c_custkey HAVING count(*) = {HASHES}""")
+@query(f"""WITH m AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'), z AS (SELECT greatest(1, CAST(ceil(count(DISTINCT o_custkey) * {PER_ITEM!r}::DOUBLE) AS BIGINT)) AS bits FROM m),
+b AS (SELECT DISTINCT {slot_sql('o_custkey', 'h', 'bits')} AS bit FROM m, z, range({HASHES}) AS d(h))
+SELECT c_custkey AS id FROM (SELECT c_custkey, h, {slot_sql('c_custkey', 'h', 'bits')} AS bit FROM customer, z, range({HASHES}) AS d(h)) WHERE bit IN (SELECT bit FROM b) GROUP BY c_custkey HAVING count(*) = {HASHES}""")
 def bloom_members(spark, sf_dir):
-    f = sketches.bloom(table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_custkey < 2000"), "o_custkey", bits=BITS, hashes=HASHES)
-    return sketches.maybe_members(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", f, bits=BITS, hashes=HASHES)
+    """Sized for the members there are."""
+    members = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
+    bits, hashes = sketches.bloom_size(members.count(), 0.01)
+    f = sketches.bloom(members, "o_custkey", bits=bits, hashes=hashes)
+    return sketches.maybe_members(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", f, bits=bits, hashes=hashes)
 
 
 # Texts
@@ -112,7 +116,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) AS rank
 def recall_at_k(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
     q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("ql"))
-    top = lookup.top_neighbours(q.drop("ql"), v.drop("label"), 5)
+    top = vectors.top_neighbours(q.drop("ql"), v.drop("label"), 5)
     named = top.join(F.broadcast(q.select("qid", "ql")), "qid").join(v.select("id", "label"), "id")
     return named.groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("found"), F.count_if(F.col("label") == F.col("ql")).alias("same"))
 

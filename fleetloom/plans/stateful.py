@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chain, charging, folds, graph, ordered
@@ -13,12 +13,13 @@ from ..streaming import state
 from .fleet import BANDS, VERDICTS, query
 
 
-def risk_samples(t: DataFrame) -> DataFrame:
-    """Samples for range alerts: the odometer advances 100 m with each event of the fleet."""
+def risk_samples(t: DataFrame, distance: Column | None = None) -> DataFrame:
+    """Samples for range alerts: the odometer advances 100 m with each event of the fleet. distance: to a charger; made up where it isn't given."""
+    distance = F.col("vin") * 37 % 150 if distance is None else distance
     epoch = F.unix_seconds(F.col("ts").cast("timestamp"))
     return t.select(
         F.col("vin").cast("long").alias("vin"), epoch.alias("epoch"), "seq", (F.col("seq") / F.lit(10.0)).alias("odo"), F.col("soc").cast("double").alias("soc"), "state",
-        (F.lit(0.1) + F.col("vin") % 5 * F.lit(0.05)).alias("catalogue"), (F.col("vin") * 37 % 150).cast("double").alias("distance"),
+        (F.lit(0.1) + F.col("vin") % 5 * F.lit(0.05)).alias("catalogue"), distance.cast("double").alias("distance"),
     )
 
 

@@ -10,11 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, *, max_files: int = 1000, newest_first: bool = False) -> DataFrame:
+    """The same table as a stream of its files, the oldest first unless said otherwise.
+
+    max_files bounds what one trigger takes, and so its memory: back-pressure is that later files wait."""
     path, known = f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name)
     files = known.inputFiles()
-    stream = spark.readStream.schema(known.schema)
+    stream = spark.readStream.schema(known.schema).option("maxFilesPerTrigger", max_files).option("latestFirst", newest_first)
     if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):  # a stream reads folders
         return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return stream.parquet(path)

@@ -24,7 +24,7 @@ def folder(spark: SparkSession) -> str:
 def stored(rows: DataFrame, path: str | None = None) -> DataFrame:
     """Write rows and read them again, so that lost executors cost a read and no recomputation."""
     path = path or folder(rows.sparkSession)
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -102,9 +102,10 @@ def drain(stream: DataFrame, path: str | None = None, checkpoint: str | None = N
 
 
 def insert_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], first: str) -> None:
-    """For foreachBatch: add the rows of batch whose keys no earlier batch had, of a key the row with the smallest first.
+    """For foreachBatch without state: add the rows of batch whose keys no earlier batch had, of a key the row with the smallest first.
 
-    A batch has its own folder and overwrites it, so a batch that is run again changes nothing."""
+    A batch has its own folder and overwrites it, so a batch that is run again changes nothing. Each batch reads the keys
+    of all earlier ones: for a few large batches; many small ones are for upsert_stream."""
     rows = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), first).alias("r")).select("r.*")
     if batch_id:
         earlier = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{path}/{i}" for i in range(batch_id)])
@@ -112,8 +113,44 @@ def insert_new(batch: DataFrame, batch_id: int, path: str, keys: list[str], firs
     rows.write.mode("overwrite").parquet(f"{path}/{batch_id}")
 
 
+class FirstOf(StatefulProcessor):
+    """One row of each key, once: of the trigger in which the key comes first, the row with the smallest value of a column."""
+
+    def __init__(self, first: str):
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("there", "there BOOLEAN")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in rows:
+            if not self.state.exists():
+                low = batch.nsmallest(1, self.first)
+                best = low if best is None or low[self.first].iloc[0] < best[self.first].iloc[0] else best
+        if best is not None:
+            self.state.update((True,))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
 def upsert_stream(stream: DataFrame, keys: list[str], first: str) -> DataFrame:
-    """Drain a stream through insert_new, and read the table."""
-    spark, path = stream.sparkSession, folder(stream.sparkSession)
-    stream.writeStream.foreachBatch(lambda b, i: insert_new(b, i, path, keys, first)).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/*")
+    """Insert rows whose key isn't there yet; a key that is changes nothing. A byte of state a key, no table is read again."""
+    return drain(stream.groupBy(*keys).transformWithStateInPandas(FirstOf(first), stream.schema, "Append", "None"))
+
+
+def status_snapshot(stream: DataFrame, key: str, status: str, order: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """key, status: the last status of each key by order of arrival, of all that has arrived.
+
+    State and snapshot grow with the keys, not with the rows. A trigger's snapshot has its own folder, which a repeated
+    trigger overwrites; the last is read."""
+    spark = stream.sparkSession
+    path, checkpoint = path or folder(spark), checkpoint or folder(spark)
+    last = stream.groupBy(key).agg(F.max_by(status, order).alias(status))
+    stream_ = last.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    done = stream_.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/{i}")).start()
+    done.awaitTermination()
+    newest = (done.lastProgress or {"batchId": 0})["batchId"]
+    return spark.read.schema(last.schema).parquet(f"{path}/{newest}")
