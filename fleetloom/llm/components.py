@@ -1,32 +1,5 @@
-"""Connected components of a graph in a table, by alternating large-star and small-star steps."""
+"""Connected components of a graph in a table: node, root for every node of edges (a, b), two long columns."""
 
-from __future__ import annotations
+from ..operators.graph import roots as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether all edges (a, b) lead to a root: no node is both an a and a b, none is an a twice."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to")), F.struct(F.col("b").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))).alias("e"))
-    nodes = ends.groupBy("e.node").agg(F.sum("e.from").alias("from"), F.max("e.to").alias("to"))
-    return nodes.where("`from` + `to` > 1 AND `from` > 0").isEmpty()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of the component) for every node of edges (a, b), two long columns.
-
-    Each step is joins and aggregates over edges; a node with many edges is only an aggregation key and, in joins, one
-    row on the other side. Tables in the shared folder cut the lineage after each round."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = saved(e)
-    while not _stars(e):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        e = saved(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["components"]
