@@ -4,7 +4,8 @@ Payloads become rows of (record identifier, chunk number, chunk). A task slides
 lie in the Arrow batch: digests are carried from chunk to chunk, and chunks are given out a few at a time, so besides the
 source row no whole payload is ever built. Each chunk is a WARC record of its own, and the chunks of one payload are a
 segmented record (WARC-Segment-Number, continuation records). Spark's text writer makes the archives: a row is a record,
-the line separator its end. Reading splits at the first header line, so archives of any size are read in parallel.
+the line separator its end. An archive holds the records of one task, gzipped as usual; archives are read in parallel,
+each as a stream that is split at the first header lines.
 Chunks are cut so that none holds that line. SHA-1 digests of segmented payloads are carried from chunk to chunk
 over rows sorted by record and number; a record that fits one chunk is digested where it is read.
 
@@ -34,7 +35,7 @@ CHUNK_BYTES = 65536
 HELD_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 HEADER = re.compile(rb"WARC/1\.0\r\n")
-RECORDS = "rid long, page_id long, url string, digest string, sha string, total long, number int, last boolean, chunk string"
+RECORDS = "rid long, page_id long, url string, digest binary, sha binary, total long, number int, last boolean, chunk string"
 
 
 def cuts(data: memoryview, chunk_bytes: int) -> Iterator[tuple[int, int]]:
@@ -55,7 +56,7 @@ def cuts(data: memoryview, chunk_bytes: int) -> Iterator[tuple[int, int]]:
 
 def chunker(chunk_bytes: int):
     names = ["rid", "page_id", "url", "digest", "sha", "total", "number", "last", "chunk"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -67,13 +68,13 @@ def chunker(chunk_bytes: int):
 
         for batch in batches:
             for rid, page, url, html in zip(*batch.columns, strict=True):
-                data = memoryview(html.as_buffer() or b"")
+                data = memoryview(html.as_buffer() or b"").cast("B")
                 one, two, size = hashlib.sha1(), hashlib.sha256(), len(data)
                 for at in range(0, size, HELD_BYTES):
                     part = data[at : at + HELD_BYTES]
                     one.update(part)
                     two.update(part)
-                own = (rid.as_py(), page.as_py(), url.as_py(), one.hexdigest(), two.hexdigest(), size)
+                own = (rid.as_py(), page.as_py(), url.as_py(), one.digest(), two.digest(), size)
                 for number, (at, end) in enumerate(cuts(data, chunk_bytes), 1):
                     rows.append((*own, number, end == size, bytes(data[at:end])))
                     if (held := held + end - at) > HELD_BYTES:
@@ -97,8 +98,8 @@ def record_table(pages: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, min_revisi
     return rows.select("rid", "page_id", "url", "digest", "refers", "total", "number", (F.col("last") | ~stored).alias("last"), F.when(stored, F.col("chunk")).otherwise("").alias("chunk"))
 
 
-def write_archives(records: DataFrame, path: str, *, date: str = DATE) -> None:
-    """Write the rows of record_table as uncompressed WARC files below path."""
+def write_archives(records: DataFrame, path: str, *, date: str = DATE, compression: str = "gzip") -> None:
+    """Write the rows of record_table as WARC files below path. compression: gzip, or none for files that are read in splits."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     name = lambda rid, number: F.concat(F.lit("<urn:record:"), rid.cast("string"), F.lit(":"), number.cast("string"), F.lit(">"))
     c = F.col
@@ -108,14 +109,14 @@ def write_archives(records: DataFrame, path: str, *, date: str = DATE) -> None:
         F.lit(FIRST), line("WARC-Type", kind), line("WARC-Record-ID", name(c("rid"), c("number"))), line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.replace(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))),
         line("X-Page-ID", F.coalesce(c("page_id").cast("string"), F.lit("-"))),
-        F.when(c("number") == 1, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), c("digest")))).otherwise(""),
+        F.when(c("number") == 1, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.lower(F.hex("digest"))))).otherwise(""),
         F.when(c("refers").isNotNull(), line("WARC-Refers-To", name(c("refers"), F.lit(1)))).otherwise(""),
         F.when(segmented, line("WARC-Segment-Number", c("number").cast("string"))).otherwise(""),
         F.when(c("number") > 1, line("WARC-Segment-Origin-ID", name(c("rid"), F.lit(1)))).otherwise(""),
         F.when(segmented & c("last"), line("WARC-Segment-Total-Length", c("total").cast("string"))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length("chunk").cast("string")), F.lit(CRLF), c("chunk"),
     )
-    records.select(head.alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records.select(head.alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
