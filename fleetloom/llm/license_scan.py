@@ -8,7 +8,7 @@ judged again, until no template is confirmed; long stretches are judged in windo
 template.
 
 Defined cases: null and empty texts have no findings; each place of a repeated notice is a finding; templates that save
-equally many bytes are taken by fewer differences, then by name. Extra columns are not read. Whole texts are
+equally many bytes are taken by fewer differences, then by name; a changed word is one difference. Extra columns are not read. Whole texts are
 searched; what is remembered of blocks already judged is bounded.
 """
 
@@ -18,6 +18,7 @@ import difflib
 import math
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,31 +39,40 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
-HINT = re.compile(r"licen[sc]e|permission is hereby|permission to use|redistribution and use|free software|creative commons|\bCC BY", re.I)
+#: Words of which a notice holds some even where a few of its words are changed.
+HINT = re.compile(r"licen[sc]e|permission (?:is|to)\b|hereby granted|documentation files|redistribut|source and binary|any purpose with|free software|creative commons|\bCC BY|Mozilla Public|Source Code Form", re.I)
 WORDS = re.compile(r"[\w.+-]*\w", re.A)
 MAX_DIFF = 0.15
 #: Least share of the plain size that a winner saves.
 LEAST_SAVED = 0.25
 #: Characters up to which a stretch is judged whole before it is judged in windows.
 WHOLE = 2000
+#: Words up to which a template is short: it is looked for in windows of its own, as its bytes hardly count in long ones.
+SHORT = 12
 SCHEMA = "doc_id long, start long, end long, license string, plain_bytes int, saved_bytes int, saved_share double, differences int, wording string"
 
 
 def blocks(text: str, reach: int = 6) -> Iterator[tuple[int, str]]:
-    """Start and text of each maximal run of lines that have a hint or continue one for at most reach lines, to a blank line."""
+    """Start and text of each maximal run of lines that have a hint or lie at most reach lines before or after one, blank lines apart."""
     if not HINT.search(text):
         return
     at, begin, left = 0, None, 0
+    before: deque[int] = deque(maxlen=reach)
     for line in text.splitlines(keepends=True):
         if HINT.search(line):
             if begin is None:
-                begin = at
+                begin = before[0] if before else at
             left = reach
-        elif begin is not None and (not line.strip() or left == 0):
-            yield begin, text[begin:at]
-            begin = None
-        else:
+            before.clear()
+        elif begin is not None and line.strip() and left:
             left -= 1
+        else:
+            if begin is not None:
+                yield begin, text[begin:at]
+                begin = None
+            before.append(at)
+            if not line.strip():
+                before.clear()
         at += len(line)
     if begin is not None:
         yield begin, text[begin:at]
@@ -79,17 +89,21 @@ class Judge:
             for form in forms:
                 raw = zstandard.ZstdCompressionDict(form.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.all.append((name, form, [w.lower() for w in WORDS.findall(form)], zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        # Words in which any confirmed notice fits; a window is two of these and moves on by one.
-        self.reach = math.ceil((1 + max_diff) * max((len(want) for _, _, want, _ in self.all), default=0)) + 1
+        every = range(len(self.all))
+        long, short = [i for i in every if len(self.all[i][2]) > SHORT], [i for i in every if len(self.all[i][2]) <= SHORT]
+        #: Templates that are judged together, all of them first.
+        self.groups = [list(every), *(g for g in (long, short) if g)]
+        # Words in which any confirmed notice of a group fits; a window is two of these and moves on by one.
+        self.reach = [math.ceil((1 + max_diff) * max((len(self.all[i][2]) for i in g), default=0)) + 1 for g in self.groups]
         self.of = lru_cache(cache)(self._of)
 
-    def _of(self, line: str) -> tuple | None:
-        """license, start, end, plain, saved, differences, wording of the best template for a stretch of text."""
+    def _of(self, line: str, group: int) -> tuple | None:
+        """license, start, end, plain, saved, differences, wording of the best template of a group for a stretch of text."""
         low = line.lower().encode()
         plain = len(self.plain.compress(low))
         found = [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(line)]
         words = [w for _, _, w in found]
-        ranked = sorted(((plain - len(c.compress(low)), name, form, want) for name, form, want, c in self.all), key=lambda x: (-x[0], x[1], x[2]))
+        ranked = sorted(((plain - len(c.compress(low)), name, form, want) for name, form, want, c in map(self.all.__getitem__, self.groups[group])), key=lambda x: (-x[0], x[1], x[2]))
         best = None
         for saved, name, _, want in ranked:
             if best is not None and saved < best[4]:
@@ -110,31 +124,33 @@ class Judge:
                     best = got
         return best
 
-    def within(self, text: str, at: int) -> Iterator[tuple]:
+    def within(self, text: str, at: int, group: int) -> Iterator[tuple]:
         """The best notice of a stretch that starts at a place, and those of what it leaves over, in order."""
-        if HINT.search(text) and (f := self.of(text) if len(text) <= WHOLE else self._of(text)):
-            yield from self.within(text[: f[1]], at)
+        if HINT.search(text) and (f := self.of(text, group) if len(text) <= WHOLE else self._of(text, group)):
+            yield from self.within(text[: f[1]], at, group)
             yield f[0], at + f[1], at + f[2], *f[3:]
-            yield from self.within(text[f[2] :], at + f[2])
+            yield from self.within(text[f[2] :], at + f[2], group)
 
-    def windows(self, text: str, at: int) -> Iterator[tuple]:
+    def windows(self, text: str, at: int, group: int) -> Iterator[tuple]:
         """Notices of a stretch by windows; one that starts in the second half of a window is left to the next."""
         words = [m.span() for m in WORDS.finditer(text)] if HINT.search(text) else []
-        k = 0
+        k, reach = 0, self.reach[group]
         while k < len(words):
-            rest = words[k : k + 2 * self.reach]
+            rest = words[k : k + 2 * reach]
             last = k + len(rest) == len(words)
             done = 0
-            for f in self.within(text[rest[0][0] : rest[-1][1]], at + rest[0][0]):
-                if last or f[1] - at < rest[self.reach][0]:
+            for f in self.within(text[rest[0][0] : rest[-1][1]], at + rest[0][0], group):
+                if last or f[1] - at < rest[reach][0]:
                     yield f
                     done = f[2] - at
-            k = len(words) if last else max(k + self.reach, bisect_left(words, (done,)))
+            k = len(words) if last else max(k + reach, bisect_left(words, (done,)))
 
     def places(self, text: str, at: int) -> list[tuple]:
         """All notices of a stretch, in order."""
-        found = list(self.within(text, at)) if len(text) <= WHOLE else []
-        return sorted([*found, *(f for b, e in gaps(found, at, at + len(text)) for f in self.windows(text[b - at : e - at], b))], key=lambda f: f[1])
+        found = list(self.within(text, at, 0)) if len(text) <= WHOLE else []
+        for group in range(1, len(self.groups)):
+            found = sorted([*found, *(f for b, e in gaps(found, at, at + len(text)) for f in self.windows(text[b - at : e - at], b, group))], key=lambda f: f[1])
+        return found
 
     def findings(self, text: str) -> Iterator[tuple]:
         """Line by line first, as most notices are one line; then what is left of the block."""
