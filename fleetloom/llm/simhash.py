@@ -13,7 +13,8 @@ a further step, where each pair of blocks is a task's work, so no bucket is held
 ``near_duplicates`` finds documents alike in shingles (5 words, Jaccard 0.8) by the same code: 128-bit fingerprints, keys
 from Golay segments of fixed random bits, as many as the wanted recall needs, then exact similarity of the shingle sets.
 The forest's links are verified first. Where one fails and its ends stay apart, all pairs of a bucket that are still of
-different groups are verified, in large families a growing share of them at a time, until none is left untried.
+different groups are verified, in large families a growing share of them at a time, until none is left untried. Rows that
+have too many shingles of their own to be alike any other of the family are set apart before, by counts of shingles.
 
 Defined cases: null and empty texts have no words; with fewer words than a shingle the whole sequence is one. A
 fingerprint without words is 0 and linked like any other (for near_duplicates, texts without words are alike). Null ids
@@ -179,15 +180,18 @@ def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed(mixed(lo + np.uint64(1)) ^ hi) >> np.uint64(11)) / 2.0**53
 
 
-def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, share: float | None = None) -> Callable:
+def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, share: float | None = None, similarity: float = 0.0) -> Callable:
     """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null.
 
-    With a share, the last of fp_columns is a row's group and a bucket gives that share of all pairs of different groups instead of a forest."""
+    With a share, a bucket gives that share of all pairs of different groups instead of a forest. The last three of fp_columns are then
+    a row's size, how much of it other rows may have, and its group; pairs that by these can't be as alike as similarity are left out."""
 
     def near(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray) -> np.ndarray:
         if share is None:
             return distances(a, b) <= most
-        ok = (a[:, -1] != b[:, -1]) & (distances(a[:, :-1], b[:, :-1]) <= most)
+        both = np.minimum(a[:, -2], b[:, -2])
+        can = both * (1 + similarity) + 1e-9 >= similarity * (a[:, -3] + b[:, -3])
+        ok = (a[:, -1] != b[:, -1]) & can & (distances(a[:, :-3], b[:, :-3]) <= most)
         return ok if share >= 1 else ok & (drawn(a_ids, b_ids) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,21 +301,21 @@ def finer_keys(members: DataFrame) -> DataFrame:
     return rows
 
 
-def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None, similarity: float = 0.0, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; with a share, that of all pairs (see linker).
 
     finer: gives the rows of buckets over BLOCK keys that part them further and miss no link."""
     schema = f"key long, a long, b long, {', '.join(f'{c} long' for c in fp_columns)}, block long"
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, share), schema))
+    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, share, similarity), schema))
     members = found.where("b is null").withColumnRenamed("a", "id")
     if finer is not None:
-        return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most, share))
+        return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most, share, similarity))
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     # Each block meets each block of its bucket, itself included, in a group of its own.
     pairs = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", *fp_columns)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True, share), schema)
+    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True, share, similarity), schema)
     return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
 
 
@@ -382,6 +386,16 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, tables: list) -> np.ndarray:
     return (np.arange(len(tables)) << (12 + size)) | (code << size) | words[:, 1::2]
 
 
+def linkable(rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """row, size, common of those of rows (row, around) that may be alike another of the same around: common is how many of
+    a row's shingles others of it have. Two rows share at most the lesser common, so a row with more shingles of its own than
+    the similarity leaves room for is alike none; no such row is compared any more, and no link is lost."""
+    each = rows.select("row", "around").join(shingles, "row").select("row", "around", F.explode("shingles").alias("s"))
+    alone = each.groupBy("around", "s").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+    sized = rows.select("row").join(shingles.select("row", F.size("shingles").cast("long").alias("size")), "row").join(alone, "row", "left")
+    return sized.select("row", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") + 1e-9 >= F.col("size") * similarity)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, row: str | None = None) -> DataFrame:
     """row, doc_id, component (smallest row number of those alike, directly or through others) of every row of docs.
 
@@ -437,17 +451,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     # What candidates link, alike or not, holds every pair of a bucket within most bits.
     around = components(candidates)
     rows = prints.join(around, prints["row"] == around["node"]).select("row", "lo", "hi", F.col("root").alias("around"))
+    grouped = rows.join(of, rows["row"] == of["node"], "left").select("row", "around", F.coalesce("root", "row").alias("own"))
+    apart = grouped.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("around")
+    rows = saved(rows.join(apart, "around", "left_semi"))
+    rows = saved(rows.join(linkable(rows, shingles, similarity), "row").select("row", "lo", "hi", "around", "size", "common"))
     share = 0.0
     while share < 1:
-        rows = rows.join(of, rows["row"] == of["node"], "left").select("row", "lo", "hi", "around", F.coalesce("root", "row").alias("own"))
+        rows = rows.join(of, rows["row"] == of["node"], "left").select("row", "lo", "hi", "around", "size", "common", F.coalesce("root", "row").alias("own"))
         apart = saved(rows.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y"))
         largest = apart.agg(F.max("n")).first()[0]
         if largest is None:
             break
         share = min(1.0, max(TRIED * share, TRIED / largest))
         rows = saved(rows.join(apart, "around", "left_semi"))
-        keyed = rows.select(F.col("row").alias("id"), "lo", "hi", "own").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long, own long")
-        edges = edges.unionByName(verified(saved(links(keyed, ["lo", "hi", "own"], most, share).distinct())))
+        keyed = rows.select(F.col("row").alias("id"), "lo", "hi", "size", "common", "own").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long, size long, common long, own long")
+        edges = edges.unionByName(verified(saved(links(keyed, ["lo", "hi", "size", "common", "own"], most, share, similarity).distinct())))
         of = saved(components(edges))
         rows = rows.drop("own")
     return prints.join(of, prints["row"] == of["node"], "left").select("row", "doc_id", F.coalesce("root", "row").alias("component"))
