@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
+    """a, b, len of edges in both directions, the shortest of parallel ones."""
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND len IS NOT NULL")
     return stored(e.select("a", "b", "len").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "len")).groupBy("a", "b").agg(F.min("len").alias("len")))
 
@@ -37,19 +38,19 @@ def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
     Only nodes that the last round brought nearer send along their edges, so work follows the front. Nodes that no
     source reaches are left out."""
-    return _spread(_both_ways(edges), _starts(sources))
+    return _spread(both_ways(edges), _starts(sources))
 
 
 def add_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) -> DataFrame:
     """overlay (node, dist, source) when sources (node) open: only what comes nearer to one of them is looked at."""
     both = _placed(overlay, F.lit(False)).unionByName(_starts(sources))
     best = both.groupBy("node").agg(F.min("at").alias("at"), F.min_by("fresh", "at").alias("fresh"))
-    return _spread(_both_ways(edges), best)
+    return _spread(both_ways(edges), best)
 
 
 def remove_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) -> DataFrame:
     """overlay (node, dist, source) when sources (node) close: their nodes are cleared, and nodes beside these send again."""
-    e = _both_ways(edges)
+    e = both_ways(edges)
     gone = sources.where("node IS NOT NULL").select(F.col("node").alias("source")).distinct()
     cleared = stored(overlay.join(gone, "source", "left_semi").select("node"))
     beside = e.join(cleared.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).distinct().withColumn("sends", F.lit(True))

@@ -57,20 +57,25 @@ def charge_sessions(samples: DataFrame, *, key: str = "vin", gap_s: int = 30) ->
     return s.groupBy(key, "id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"), (F.max_by("soc", F.struct("ts", "seq")) - F.min_by("soc", F.struct("ts", "seq"))).alias("rise"), F.sum(used).alias("energy")).drop("id")
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], count: str) -> DataFrame:
-    """Add before (the sum of count over earlier rows of the key, by order) and total; order and key tell rows apart.
+def running_totals(rows: DataFrame, key: str, order: list[str], counts: list[str]) -> DataFrame:
+    """Add, for each of counts, its sum over earlier rows of the key by order (count_before) and over all of them (count_total).
 
-    Rows are range-partitioned by key and order, so a large key takes many partitions; each is summed on its own, and
-    the sums of a key's earlier partitions are added: a row for each key and each partition it touches, about as many as
-    keys and partitions together."""
+    Order and key tell rows apart. Rows are range-partitioned by key and order, so a large key takes many partitions; each
+    is summed on its own, and the sums of a key's earlier partitions are added: a row for each key and each partition it
+    touches, about as many as keys and partitions together."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = stored(rows.repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()))
     of, whole = Window.partitionBy("__key"), Window.partitionBy(key, "__part").orderBy(*order)
-    sums = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.sum(count).alias("__here"))
     earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__key", "__of", earlier("__here", of.orderBy("__of")).alias("__before"), F.sum("__here").over(of).alias("total"))
-    met = placed.withColumn("before", earlier(count, whole)).join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
-    return met.select(*rows.columns, (F.col("before") + F.col("__before")).alias("before"), "total")
+    sums = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(*[F.sum(c).alias(f"__{c}") for c in counts])
+    sums = sums.select("__key", "__of", *[earlier(f"__{c}", of.orderBy("__of")).alias(f"__{c}_before") for c in counts], *[F.sum(f"__{c}").over(of).alias(f"{c}_total") for c in counts])
+    met = placed.withColumns({f"{c}_here": earlier(c, whole) for c in counts}).join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
+    return met.select(*rows.columns, *[(F.col(f"{c}_here") + F.col(f"__{c}_before")).alias(f"{c}_before") for c in counts], *[f"{c}_total" for c in counts])
+
+
+def running_total(rows: DataFrame, key: str, order: list[str], count: str) -> DataFrame:
+    """The same of one count, as before and total."""
+    return running_totals(rows, key, order, [count]).withColumnsRenamed({f"{count}_before": "before", f"{count}_total": "total"})
 
 
 def quantile_by_index(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:

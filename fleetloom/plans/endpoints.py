@@ -178,6 +178,20 @@ def sealed_names(spark, sf_dir):
     return c.select("id", governance.opened(F.col("sealed"), key).alias("name"), (~F.contains("sealed", "c_name")).alias("hidden"))
 
 
+CHECKS = {"orders": {"price": "o_totalprice >= 0", "status": "o_orderstatus IN ('O', 'F', 'P')", "customer": "o_custkey >= 0"}, "lineitem": {"quantity": "l_quantity > 0", "discount": "l_discount BETWEEN 0 AND 0.05", "line": "l_linenumber BETWEEN 1 AND 6"}}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS rule, count(*) FILTER (WHERE NOT coalesce({e}, false)) AS broken FROM {t}" for t, cs in CHECKS.items() for c, e in cs.items()))
+def broken_rules(spark, sf_dir):
+    """Rows that break each rule of a table: one scan a table, a null breaks a rule."""
+    found = None
+    for name, rules in CHECKS.items():
+        counts = table(spark, sf_dir, name).agg(*[F.count_if(~F.coalesce(F.expr(e), F.lit(False))).alias(c) for c, e in rules.items()])
+        rows = counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(c).alias("rule"), F.col(c).alias("broken")) for c in rules])).alias("r")).select("r.*")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 # Identities and cells
 
 #: The namespace of names of devices, itself the name-based UUID of the word fleetloom below the fixed DNS namespace.

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import columns as C
 from ..operators import folds, lookup, ordered, vectors
 from ..sources.adapters import ALERT, ARR, TEL, alerts, arrivals, table, telemetry
+from ..sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,10 +218,10 @@ SELECT vin, count(*) AS n, CAST(sum(o) AS BIGINT) AS overlap FROM (SELECT x.vin,
 def trip_overlap_match(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     start = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
-    i = l.select(F.col("l_orderkey").alias("vin"), F.monotonically_increasing_id().alias("id"), start.alias("a"), (start + F.col("l_quantity").cast("long") * 86400).alias("b"))
-    r = i.select("vin", F.col("id").alias("rid"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    met = i.join(r, "vin").where("id <> rid AND a < rb AND ra < b")
-    best = met.groupBy("vin", "id", "a", "b").agg(F.max(F.least("b", "rb") - F.greatest("a", "ra")).alias("o")).where("o * 2 >= b - a")
+    # Numbered once, in a stored table: both sides of the join see the same numbers.
+    i = stored(l.select(F.col("l_orderkey").alias("vin"), F.monotonically_increasing_id().alias("id"), start.alias("a"), (start + F.col("l_quantity").cast("long") * 86400).alias("b")))
+    met = lookup.overlaps(i, i, "vin", 30 * 86400).where("id <> rid")
+    best = met.groupBy("vin", "id", "a", "b").agg(F.max("overlap").alias("o")).where("o * 2 >= b - a")
     return best.groupBy("vin").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("overlap"))
 
 

@@ -116,6 +116,33 @@ def months_of_trips(spark, sf_dir):
     return files.months(spark, path, F.col("month") >= "1999-07").groupBy("month").agg(F.count(F.lit(1)).alias("trips"), F.sum("energy_c").alias("energy_c"))
 
 
+ROLLUP_SQL = "SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*) AS trips, CAST(sum(CAST(floor(o_totalprice * 100 + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS energy_c FROM orders GROUP BY 1"
+
+
+@query(ROLLUP_SQL)
+def rollup_refresh(spark, sf_dir):
+    """A stored rollup, of which only the months with new trips (status P stands for these) are made again."""
+    o = table(spark, sf_dir, "orders")
+    rollup = lambda t: t.groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("trips"), F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)).alias("energy_c"))
+    path = folder(spark)
+    files.store_by_month(rollup(o.where("o_orderstatus <> 'P'")), "day", path)
+    month = F.date_trunc("month", "o_orderdate")
+    changed = o.where("o_orderstatus = 'P'").select(month.alias("changed")).distinct()
+    files.refresh_months(rollup(o.join(changed, month == F.col("changed"), "left_semi")), "day", path)
+    return spark.read.parquet(path).drop("month")
+
+
+@query("SELECT 'orders' AS name, 2 * count(*) AS n FROM orders UNION ALL SELECT 'customer', 2 * count(*) FROM customer")
+def bulk_load(spark, sf_dir):
+    """Tables loaded in place of older ones, then once more beside them."""
+    path, tables = folder(spark), {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    files.load({n: t.limit(1) for n, t in tables.items()}, path)
+    files.load(tables, path, reset=True)
+    files.load(tables, path)
+    count = lambda n: spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count("orders").unionByName(count("customer"))
+
+
 # Codes and repeats
 
 CODE_SQL = "substr('PCBU', ({n} >> 14) + 1, 1) || CAST(({n} >> 12) & 3 AS VARCHAR) || printf('%03X', {n} & 4095)"
@@ -131,6 +158,15 @@ def dtc_code_topk(spark, sf_dir):
     return t.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "code").limit(10)
 
 
+@query(f"""WITH {TEL}, c AS (SELECT unnest([CAST(vin * 7919 % 65536 AS INTEGER), CAST(seq % 97 * 641 % 65536 AS INTEGER)]) AS n FROM tel WHERE evt = 'error')
+SELECT count(*) AS n FROM c GROUP BY c.n ORDER BY n DESC LIMIT 10""")
+def dtc_topk_sketch(spark, sf_dir):
+    """The counts of the ten commonest codes by a sketch of at most 10,000 codes; exact while there are fewer."""
+    raw = lambda n: C.dtc_decode(F.lpad(F.hex(n % 65536), 4, "0"))
+    t = telemetry(spark, sf_dir).where("evt = 'error'").select(F.explode(F.array(raw(F.col("vin") * 7919), raw(F.col("seq") % 97 * 641))).alias("code"))
+    return t.select(F.expr("approx_top_k(code, 10, 10000)").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.count").alias("n"))
+
+
 @query("""WITH a AS (SELECT user_id % 8 AS worker, user_id AS vin, event_id AS seq, CASE WHEN event_id % 33 = 0 THEN event_id * 2 + 101 ELSE event_id * 2 END AS n FROM events
   UNION ALL SELECT user_id % 8, user_id, event_id, event_id * 2 + 81 FROM events WHERE event_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vin, seq ORDER BY n) AS k FROM a)
 SELECT worker, count(*) FILTER (WHERE k = 1) AS fresh, count(*) FILTER (WHERE k > 1) AS seen FROM k GROUP BY worker""")

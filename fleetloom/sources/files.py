@@ -56,3 +56,15 @@ def store_by_month(rows: DataFrame, at: str, path: str) -> None:
 def months(spark: SparkSession, path: str, condition: Column) -> DataFrame:
     """The rows of such a table in the months that fit; the files of others aren't read."""
     return spark.read.parquet(path).where(condition)
+
+
+def refresh_months(rows: DataFrame, at: str, path: str) -> None:
+    """Replace the months that rows have in such a table; other months stay as they are."""
+    month = F.date_format(F.col(at).cast("timestamp"), "yyyy-MM")
+    rows.withColumn("month", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def load(tables: dict[str, DataFrame], path: str, *, reset: bool = False) -> None:
+    """Write tables below path, a folder each; with reset in place of what is there, else beside it."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite" if reset else "append").parquet(f"{path}/{name}")
