@@ -14,10 +14,12 @@ an empty string; sources without words have target 0 and rate 0. Extra columns a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.ordered import running_totals
 from .common import WORD, read, saved
 
 WEIGHTS = (5, 2, 1)
@@ -29,34 +31,27 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, limit: int = 2) -> DataFrame:
-    """source, source_size, target of sizes (source, size).
-
-    There is a row for each source here, not for each document; ordering them takes one task."""
+    """source, source_size, target of sizes (source, size). Sources may be as many as hosts: no task orders all of them."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    per = per.select("source", "source_size", F.lit(0).alias("all"), F.col("source").isNull().alias("none"), F.lit(1).cast("long").alias("one"))
+    n = F.col("one_before") + 1
     ws = F.array(*[F.lit(w).cast("long") for w in weights])
-    ranked = ranked.withColumn("w", F.element_at(ws, F.pmod(F.col("n") - 1, F.lit(len(weights))).cast("int") + 1))
+    ranked = running_totals(per, "all", ["none", "source"], ["one"]).select("source", "source_size", "all", n.alias("n"), F.element_at(ws, F.pmod(n - 1, F.lit(len(weights))).cast("int") + 1).alias("w"))
     # Order of limit * size / w, made whole by all weights' product.
-    product = 1
-    for w in weights:
-        product *= w
-    level = F.col("source_size") * F.lit(product) / F.col("w")
-    order = Window.orderBy(level, "n")
-    every = Window.partitionBy()
-    full = ranked.select(
-        "source", "source_size", "w", "n", F.sum("source_size").over(every).alias("total"), F.sum("w").over(every).alias("all_w"),
-        F.coalesce(F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("size_before"),
-        F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("w_before"),
-    )
+    product = math.prod(weights)
+    leveled = ranked.withColumn("level", F.col("source_size") * F.lit(product) / F.col("w"))
+    full = running_totals(leveled, "all", ["level", "n"], ["source_size", "w"])
     # Were this the first source that isn't full, it would get left * w / rest; the sums are in hundredths of words.
-    left = F.col("total") * share_pct - F.col("size_before") * (limit * 100)
-    rest = F.col("all_w") - F.col("w_before")
+    left = F.col("source_size_total") * share_pct - F.col("source_size_before") * (limit * 100)
+    rest = F.col("w_total") - F.col("w_before")
     fits = left * F.col("w") <= F.col("source_size") * (limit * 100) * rest
-    marked = full.select("source", "source_size", "w", fits.alias("fits"), left.alias("left"), rest.alias("rest"), F.row_number().over(order).alias("k"))
-    first = F.min(F.when(F.col("fits"), F.struct("k", "left", "rest"))).over(every)
-    marked = marked.withColumn("first", first)
-    target = F.when(F.col("first").isNull() | (F.col("k") < F.col("first.k")), (F.col("source_size") * limit).cast("double")).otherwise((F.col("first.left") * F.col("w")).cast("double") / (F.col("first.rest") * 100).cast("double"))
-    return marked.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
+    first = full.agg(F.min(F.when(fits, F.struct("level", "n", left.alias("left"), rest.alias("rest")))).alias("f")).first()["f"]
+    target = (F.col("source_size") * limit).cast("double")
+    if first is not None:
+        full_up = F.struct("level", "n") < F.struct(F.lit(first["level"]), F.lit(first["n"]))
+        shared = (F.lit(first["left"]) * F.col("w")).cast("double") / F.lit(first["rest"] * 100).cast("double")
+        target = F.when(full_up, target).otherwise(shared)
+    return full.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
 
 
 def coin(source: Column, doc_id: Column, size: Column, seed: int) -> Column:
