@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     first = full.agg(F.min(F.when(fits, F.struct("level", "n", left.alias("left"), rest.alias("rest")))).alias("f")).first()["f"]
     target = (F.col("source_size") * limit).cast("double")
     if first is not None:
-        full_up = F.struct("level", "n") < F.struct(F.lit(first["level"]), F.lit(first["n"]))
+        full_up = (F.col("level") < first["level"]) | ((F.col("level") == first["level"]) & (F.col("n") < first["n"]))
         shared = (F.lit(first["left"]) * F.col("w")).cast("double") / F.lit(first["rest"] * 100).cast("double")
         target = F.when(full_up, target).otherwise(shared)
     return full.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target).alias("target"))
