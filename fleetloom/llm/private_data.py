@@ -103,7 +103,8 @@ def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     by = Window.partitionBy("row").orderBy("start", "rank")
     base = F.col("rank") < FOUND
     reached = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min(F.when(base, F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    # From the end, as a frame to the end of the rows would be read anew for each row.
+    following = F.min(F.when(base, F.col("start"))).over(Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumns({"reached": reached, "following": following})
     return saved(spans.where(base | (F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("following") >= F.col("end"), F.lit(True)))).drop("reached", "following").unionByName(ids))
 

@@ -119,7 +119,9 @@ def near_words(vocabulary: DataFrame, *, least: int = 7) -> DataFrame:
 
     coded = vocabulary.select("word", "n", reduced(F.col("word"), symbols).alias("r"))
     hashed = saved(coded.mapInArrow(hashes, "word string, n long, own long"))
-    generated = coded.select("r").distinct().mapInArrow(generate, "own long, key long")
+    # Few bytes in and many out, so the partitions are not left to be made fewer.
+    parts = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    generated = coded.select("r").repartition(parts, "r").distinct().mapInArrow(generate, "own long, key long")
     pairs = generated.join(hashed.select(F.col("own").alias("key")).distinct(), "key", "left_semi")
     left = pairs.join(hashed.select("own", F.col("word").alias("a"), F.col("n").alias("an")), "own")
     both = left.join(hashed.select(F.col("own").alias("key"), F.col("word").alias("b"), F.col("n").alias("bn")), "key")

@@ -15,6 +15,8 @@ URLS = [(1, "https://www.Example.com/en/71?x=1"), (2, None), (3, "no scheme"), (
 PAGE = "x" * 999
 PAGES = [(1, "u", PAGE), (2, "u", PAGE), (3, "u", PAGE + "y"), (4, None, PAGE + "y"), (5, "a\r\nb", "WARC/1.0\r\n" * 200), (6, "u", None), (7, "u", ""), (8, "u", "é\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n" * 9000), (9, "u", "\r\n\r\n" * 500), (10, "u", "\r\n\r\nWARC/1.0\r" + "z" * 70000 + "\r\n")]
 TURNS = [(1, 0, "user", "a & b"), (1, 1, "user", "<|im_end|>"), (1, 2, "assistant", "&lt;|"), (2, 0, None, None), (2, 1, "assistant", ""), (3, 0, "a\nb<|", "x\n"), (3, 0, "a\nb<|", "x\n"), (3, None, "assistant", "first")]
+NAN = float("nan")
+VECTORS = [(0, [1.0, 0.5], 1), (50, [0.0, 0.0], 1), (100, [-1.0, 0.25], None), (150, None, 2), (200, [0.5, NAN], 2), (1, [1.0, 0.25], 1), (2, [0.75, 0.5], 1), (2, [0.75, 0.5], 1), (3, [float("inf"), 0.0], 1), (4, [0.6, 0.4], 2), (5, [0.6, 0.4], 2), (7, [0.9, 0.1], 1), (None, [1.0, 1.0], 1), (9, [None, 1.0], 1), (10, [0.59, 0.41], 3), (250, [-0.001, -1.0], 2), (11, [0.0, -0.8], 2), (12, [0.1, -0.7], 1)]
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,7 @@ def odd(spark, tmp_path_factory):
     pd.DataFrame({"doc_id": pd.array([r[0] for r in ODD], "Int64"), "text": [r[1] for r in ODD], "source": [r[2] for r in ODD], "norm": "clash", "row": 1, "count": 2}).to_parquet(d / "documents.parquet")
     pd.DataFrame(URLS, columns=["page_id", "url"]).assign(html=None, host="clash", subject="clash").astype({"html": "string"}).merge(pd.DataFrame([], columns=[]), how="left", left_index=True, right_index=True).to_parquet(d / "pages.parquet")
     pd.DataFrame({"conv_id": [r[0] for r in TURNS], "turn": pd.array([r[1] for r in TURNS], "Int64"), "role": [r[2] for r in TURNS], "text": [r[3] for r in TURNS]}).to_parquet(d / "conversations.parquet")
+    pd.DataFrame(VECTORS, columns=["vec_id", "embedding", "label"]).astype({"vec_id": "Int64", "label": "Int64"}).assign(id=1, v=2).to_parquet(d / "embeddings.parquet")
     w = tmp_path_factory.mktemp("web")
     pd.DataFrame(PAGES, columns=["page_id", "url", "html"]).assign(rid=1, n=2).to_parquet(w / "pages.parquet")
     return {"op10_warc": str(w)}.get, str(d)
@@ -55,7 +58,7 @@ def test_exact_dedup_on_odd_rows(spark, odd):
 
 
 def test_empty_tables(spark, tmp_path):
-    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, q in registry.QUERIES.items():
         assert q(spark, str(tmp_path)).count() == (1 if name == "op6_chat_format" else 0), name
