@@ -58,6 +58,38 @@ def remove_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) ->
     return _spread(e, _placed(kept, F.coalesce("sends", F.lit(False))))
 
 
+def overlay_versions(e: DataFrame, overlay: DataFrame, changes: DataFrame) -> DataFrame:
+    """version, node, dist, source: where versions of an overlay (node, dist, source) differ from it; a null dist: no source reaches the node.
+
+    e: as both_ways gives it. changes (version, node, open): the sources that a version has and the overlay lacks, or the other way.
+    All versions are searched at once, each only where it differs: nodes that lose their source, and what new ones come nearer to."""
+    changes = stored(changes.select("version", "node", "open"))
+    at = overlay.select("node", F.struct(F.col("dist").cast("long").alias("dist"), "source").alias("base"))
+    cleared = stored(overlay.join(changes.where("NOT open").select("version", F.col("node").alias("source")), "source").select("version", "node").withColumn("cleared", F.lit(True)))
+    beside = cleared.select("version", F.col("node").alias("b")).join(e, "b").select("version", F.col("a").alias("node"), "b", "len").join(cleared, ["version", "node"], "left_anti").join(at, "node")
+    reached = beside.select("version", F.col("b").alias("node"), F.struct((F.col("base.dist") + F.col("len")).cast("long").alias("dist"), F.col("base.source").alias("source")).alias("at"))
+    opened = changes.where("open").select("version", "node", F.struct(F.lit(0).cast("long").alias("dist"), F.col("node").alias("source")).alias("at"))
+
+    def better(offers: DataFrame) -> DataFrame:
+        """Of offers those that beat what the overlay has, where that still holds."""
+        least = offers.groupBy("version", "node").agg(F.min("at").alias("at"))
+        return least.join(at, "node", "left").join(cleared, ["version", "node"], "left").where("cleared OR base IS NULL OR at < base").select("version", "node", "at")
+
+    best = stored(better(reached.unionByName(opened)).withColumn("fresh", F.lit(True)))
+    while not best.where("fresh").isEmpty():
+        front = best.where("fresh").select("version", F.col("node").alias("a"), "at")
+        offers = better(front.join(e, "a").select("version", F.col("b").alias("node"), F.struct((F.col("at.dist") + F.col("len")).cast("long").alias("dist"), F.col("at.source").alias("source")).alias("at")))
+        both = best.select("version", "node", "at", F.col("at").alias("old")).unionByName(offers.withColumn("old", F.lit(None).cast(best.schema["at"].dataType)))
+        best = stored(both.groupBy("version", "node").agg(F.min("at").alias("at"), F.max("old").alias("old")).select("version", "node", "at", (F.col("old").isNull() | (F.col("at") < F.col("old"))).alias("fresh")))
+    lost = cleared.join(best, ["version", "node"], "left_anti").select("version", "node", F.lit(None).cast("long").alias("dist"), F.lit(None).cast(overlay.schema["source"].dataType).alias("source"))
+    return best.select("version", "node", "at.dist", "at.source").unionByName(lost)
+
+
+def moved_on(overlay: DataFrame, changed: DataFrame) -> DataFrame:
+    """overlay with the rows that one version of it changes (node, dist, source)."""
+    return overlay.join(changed, "node", "left_anti").select("node", "dist", "source").unionByName(changed.where("dist IS NOT NULL").select("node", "dist", "source"))
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether all edges (a, b) lead to a root: no node is both an a and a b, none is an a twice."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to")), F.struct(F.col("b").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))).alias("e"))
