@@ -12,9 +12,8 @@ a further step, where each pair of blocks is a task's work, so no bucket is held
 
 ``near_duplicates`` finds documents alike in shingles (5 words, Jaccard 0.8) by the same code: 128-bit fingerprints, keys
 from Golay segments of fixed random bits, as many as the wanted recall needs, then exact similarity of the shingle sets.
-The forest's links are verified first. Where one fails and its ends stay apart, all pairs of a bucket that are still of
-different groups are verified, in large families a growing share of them at a time, until none is left untried. Rows that
-have too many shingles of their own to be alike any other of the family are set apart before, by counts of shingles.
+What buckets link, directly or through others, is a family; within it all texts are compared exactly, in blocks, by matrix products
+of their shingles (see family_links), so near copies of near copies are found however unlike most of the family is.
 
 Defined cases: null and empty texts have no words; with fewer words than a shingle the whole sequence is one. A
 fingerprint without words is 0 and linked like any other (for near_duplicates, texts without words are alike). Null ids
@@ -34,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running_total
 from .common import LOWER, UPPER, fresh, join_by_key, numbered, read, saved
 from .components import components
 
@@ -42,8 +42,10 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 4096
 #: Buckets up to this size are compared all at once over a batch.
 SMALL = 8
-#: Rows of the largest family that each row is compared with at first, and how many times more in each round after it.
-TRIED = 32
+#: Shingles of a block of a family, each row counted as so many besides its own.
+MEETING, ROW = 1 << 19, 512
+#: A shingle in more rows of a meeting than this is counted by a matrix product, so many of them at once.
+COMMON, COLUMNS = 32, 2048
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
@@ -174,39 +176,13 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number from 0 to 1, fixed for a pair of ids."""
-    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
-    return (mixed(mixed(lo + np.uint64(1)) ^ hi) >> np.uint64(11)) / 2.0**53
-
-
-def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, share: float | None = None, similarity: float = 0.0) -> Callable:
-    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null.
-
-    With a share, a bucket gives that share of all pairs of different groups instead of a forest. The last three of fp_columns are then
-    a row's size, how much of it other rows may have, and its group; pairs that by these can't be as alike as similarity are left out."""
-
-    def near(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if share is None:
-            return distances(a, b) <= most
-        both = np.minimum(a[:, -2], b[:, -2])
-        can = both * (1 + similarity) + 1e-9 >= similarity * (a[:, -3] + b[:, -3])
-        ok = (a[:, -1] != b[:, -1]) & can & (distances(a[:, :-3], b[:, :-3]) <= most)
-        return ok if share >= 1 else ok & (drawn(a_ids, b_ids) < share)
+def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) -> Callable:
+    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         open_block, open_key = 0, None
 
-        def bucket(ids: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            if share is None:
-                i, j = forest(fp, most)
-                yield ids[i], ids[j]
-                return
-            for i in range(len(ids) - 1):
-                ok = np.flatnonzero(near(ids[i : i + 1], fp[i : i + 1], ids[i + 1 :], fp[i + 1 :]))
-                yield np.full(len(ok), ids[i]), ids[i + 1 + ok]
-
         def members(key: int, ids: np.ndarray, fp: np.ndarray, block: int) -> pa.RecordBatch:
             n = len(ids)
             return _out(np.full(n, key), ids, None, fp.reshape(n, -1), np.full(n, block))
@@ -229,18 +205,13 @@ def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, sh
                 same = np.flatnonzero(kf[lag:] == kf[:-lag])
                 if not len(same):
                     break
-                ok = same[near(idf[same], ff[same], idf[same + lag], ff[same + lag])]
+                ok = same[distances(ff[same], ff[same + lag]) <= most]
                 a.append(idf[ok])
                 b.append(idf[ok + lag])
             for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                held_pairs = sum(map(len, a))
-                for x, y in bucket(ids[s : s + n], fp[s : s + n]):
-                    a.append(x)
-                    b.append(y)
-                    held_pairs += len(x)
-                    if held_pairs > 1 << 20:
-                        yield ends(a, b)
-                        a, b, held_pairs = [], [], 0
+                i, j = forest(fp[s : s + n], most)
+                a.append(ids[s + i])
+                b.append(ids[s + j])
             yield ends(a, b)
 
         for batch in batches:
@@ -301,21 +272,21 @@ def finer_keys(members: DataFrame) -> DataFrame:
     return rows
 
 
-def links(keyed: DataFrame, fp_columns: list[str], most: int, share: float | None = None, similarity: float = 0.0, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; with a share, that of all pairs (see linker).
+def links(keyed: DataFrame, fp_columns: list[str], most: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits.
 
     finer: gives the rows of buckets over BLOCK keys that part them further and miss no link."""
     schema = f"key long, a long, b long, {', '.join(f'{c} long' for c in fp_columns)}, block long"
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, share, similarity), schema))
+    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False), schema))
     members = found.where("b is null").withColumnRenamed("a", "id")
     if finer is not None:
-        return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most, share, similarity))
+        return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most))
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     # Each block meets each block of its bucket, itself included, in a group of its own.
     pairs = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", *fp_columns)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True, share, similarity), schema)
+    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True), schema)
     return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
 
 
@@ -386,21 +357,128 @@ def table_keys(lo: np.ndarray, hi: np.ndarray, tables: list) -> np.ndarray:
     return (np.arange(len(tables)) << (12 + size)) | (code << size) | words[:, 1::2]
 
 
-def linkable(rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """row, size, common of those of rows (row, around) that may be alike another of the same around: common is how many of
-    a row's shingles others of it have. Two rows share at most the lesser common, so a row with more shingles of its own than
-    the similarity leaves room for is alike none; no such row is compared any more, and no link is lost."""
-    each = rows.select("row", "around").join(shingles, "row").select("row", "around", F.explode("shingles").alias("s"))
-    alone = each.groupBy("around", "s").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
-    sized = rows.select("row").join(shingles.select("row", F.size("shingles").cast("long").alias("size")), "row").join(alone, "row", "left")
-    return sized.select("row", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")).where(F.col("common") + 1e-9 >= F.col("size") * similarity)
+def common_shingles(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many shingles each of the first n sets shares with each of the others; if there are no others, with each of the n after it."""
+    rows = len(sets)
+    others = rows - n or n
+    row = np.repeat(np.arange(rows), [len(x) for x in sets])
+    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    order = np.argsort(flat, kind="stable")  # of equal shingles, the rows in order
+    flat, row = flat[order], row[order]
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(flat)])
+    often = np.repeat(sizes > COMMON, sizes)
+    met = np.zeros((n, others), np.float32)
+    r, of = row[often], np.repeat(np.arange((sizes > COMMON).sum()), sizes[sizes > COMMON])
+    for at in range(0, int((sizes > COMMON).sum()), COLUMNS):
+        part = slice(*np.searchsorted(of, (at, at + COLUMNS)))
+        has = np.zeros((rows, COLUMNS), np.float32)
+        has[r[part], of[part] - at] = 1
+        met += has[:n] @ has[rows - others :].T
+    flat, row = flat[~often], row[~often]
+    for lag in range(1, COMMON):
+        same = np.flatnonzero(flat[lag:] == flat[:-lag])
+        if not len(same):
+            break
+        x, y = row[same], row[same + lag] - (rows - others)
+        if rows > n:
+            x, y = x[(x < n) & (y >= 0)], y[(x < n) & (y >= 0)]
+        met += np.bincount(x * others + y, minlength=n * others).reshape(n, others)
+    return met
+
+
+def meeting_links(sets: list[np.ndarray], n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (a, b) that join what is alike of the first n sets and the others, or among the n if there are no others."""
+    rows = len(sets)
+    size = np.array([len(x) for x in sets], float)
+    other = slice(n, rows) if rows > n else slice(0, n)
+    both = common_shingles(sets, n).astype(float)
+    alike = both >= similarity * (size[:n, None] + size[None, other] - both)
+    if rows == n:
+        alike = np.triu(alike, 1)
+    label = np.arange(rows)
+    while True:
+        before = label.copy()
+        label[:n] = np.minimum(label[:n], np.where(alike, label[None, other], rows).min(1, initial=rows))
+        label[other] = np.minimum(label[other], np.where(alike, label[:n, None], rows).min(0, initial=rows))
+        label = label[label]
+        if (label == before).all():
+            break
+    joined = np.flatnonzero(label != np.arange(rows))
+    return joined, label[joined]
+
+
+def meetings(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: what joins the rows that are alike of each meeting; blocks (around, i, j, side, row), sets (row, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, side, rows, sets = None, [], [], []
+
+        def met() -> pa.RecordBatch:
+            a, b = meeting_links(sets, sum(s == 0 for s in side), similarity)
+            ids = np.array(rows, np.int64)
+            return pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("around", "i", "j", "side", "row")]
+            shingles = batch.column("shingles")
+            for n, (*now, s, row) in enumerate(zip(*columns, strict=True)):
+                if now != key:
+                    if rows:
+                        yield met()
+                    key, side, rows, sets = now, [], [], []
+                side.append(s)
+                rows.append(row)
+                sets.append(shingles[n].values.to_numpy())
+        if rows:
+            yield met()
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.join(sets, "row").repartition(parts, "around", "i", "j").sortWithinPartitions("around", "i", "j", "side", "row").mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows (around, size, ...) with block: stretches of a family in the given order of about MEETING shingles."""
+    placed = running_total(rows.withColumn("weight", F.col("size") + ROW), "around", order, "weight")
+    return saved(placed.select(*rows.columns, F.floor(F.col("before") / MEETING).cast("int").alias("block")))
+
+
+def family_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: edges that join all rows (row, around) alike another of their family, by the sets (row, shingles).
+
+    A family is cut into blocks. Rows of a block and of the next meet first, which leaves little of a family of very alike rows to do;
+    a family of one block is then settled. Others are ordered by the groups found and cut again, and each two blocks meet, unless
+    they are of one group or too different in size. In a meeting all pairs are compared at once by their counts of common shingles;
+    what goes out is at most an edge a row."""
+    sized = saved(rows.select("row", "around").join(sets.select("row", F.size("shingles").cast("long").alias("size")), "row"))
+    blocks = in_blocks(sized, ["size", "row"])
+    last = blocks.groupBy("around").agg(F.max("block").alias("last"))
+    blocks = blocks.join(last, "around")
+    first = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side")), F.struct(F.col("block").alias("i"), (F.col("block") + 1).alias("j"), F.lit(0).alias("side")), F.struct((F.col("block") - 1).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
+    near = blocks.select("around", "row", "last", F.explode(first).alias("m")).where("m.i >= 0 AND m.j <= last").select("around", "m.i", "m.j", "m.side", "row")
+    edges = saved(meetings(near, sets, similarity))
+    of = saved(components(edges))
+    many = blocks.where("last > 0").select("row", "around", "size").join(of, F.col("row") == F.col("node"), "left").select("row", "around", "size", F.coalesce("root", "row").alias("own"))
+    apart = many.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("around")
+    rest = saved(many.join(saved(apart), "around", "left_semi"))
+    if rest.isEmpty():
+        return edges
+    rest = in_blocks(rest, ["own", "size", "row"])
+    ends = saved(rest.groupBy("around", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("own").alias("x"), F.max("own").alias("y")))
+    x, y = ends.select("around", *[F.col(c).alias(f"{c}_i") for c in ends.columns[1:]]), ends.select("around", *[F.col(c).alias(f"{c}_j") for c in ends.columns[1:]])
+    fits = (F.col("most_i") + 1e-9 >= similarity * F.col("least_j")) & (F.col("most_j") + 1e-9 >= similarity * F.col("least_i"))
+    one = (F.col("x_i") == F.col("y_i")) & (F.col("x_j") == F.col("y_j")) & (F.col("x_i") == F.col("x_j"))
+    pairs = saved(x.join(y, "around").where((F.col("block_i") <= F.col("block_j")) & fits & ~one).select("around", F.col("block_i").alias("i"), F.col("block_j").alias("j")))
+    left = rest.join(pairs, (rest["around"] == pairs["around"]) & (rest["block"] == pairs["i"])).select(pairs["around"], "i", "j", F.lit(0).alias("side"), "row")
+    right = rest.join(pairs.where("i < j"), (rest["around"] == pairs["around"]) & (rest["block"] == pairs["j"])).select(pairs["around"], "i", "j", F.lit(1).alias("side"), "row")
+    return edges.unionByName(saved(meetings(left.unionByName(right), sets, similarity)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, row: str | None = None) -> DataFrame:
     """row, doc_id, component (smallest row number of those alike, directly or through others) of every row of docs.
 
     row: a stored column that numbers the rows; without one a numbered table is written. recall: the share of pairs just at the
-    similarity that is found; more alike pairs are found more surely. What is found is verified exactly."""
+    similarity that share a family; more alike pairs do so more surely. Rows of a family are compared exactly, all with all."""
     if row is None:
         docs, row = numbered(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "row"), "row"
         id_col, text = "id", "text"
@@ -422,7 +500,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     keyed = distinct.select("id", "lo", "hi").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long")
     same = prints.join(distinct, ["lo", "hi"]).where("row <> id").select(F.col("row").alias("a"), F.col("id").alias("b"))
-    candidates = saved(links(keyed, ["lo", "hi"], most).unionByName(same).distinct())
+    # What candidates link, alike or not, is a family: it holds every pair of a bucket within most bits.
+    around = components(saved(links(keyed, ["lo", "hi"], most).unionByName(same).distinct()))
+    rows = saved(around.select(F.col("node").alias("row"), F.col("root").alias("around")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,44 +510,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
                 found = np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)
                 yield pa.record_batch([pa.array([row.as_py()], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["row", "shingles"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    wanted = candidates.select(F.col("a").alias("row")).unionByName(candidates.select(F.col("b").alias("row"))).distinct()
-    shingles = saved(own.select("row", "text").join(wanted, "row", "left_semi").mapInArrow(sets, "row long, shingles array<long>"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(shingles.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-        return saved(pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
-
-    edges = verified(candidates)
-    of = saved(components(edges))
-    # What candidates link, alike or not, holds every pair of a bucket within most bits.
-    around = components(candidates)
-    rows = prints.join(around, prints["row"] == around["node"]).select("row", "lo", "hi", F.col("root").alias("around"))
-    grouped = rows.join(of, rows["row"] == of["node"], "left").select("row", "around", F.coalesce("root", "row").alias("own"))
-    apart = grouped.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("around")
-    rows = saved(rows.join(apart, "around", "left_semi"))
-    rows = saved(rows.join(linkable(rows, shingles, similarity), "row").select("row", "lo", "hi", "around", "size", "common"))
-    share = 0.0
-    while share < 1:
-        rows = rows.join(of, rows["row"] == of["node"], "left").select("row", "lo", "hi", "around", "size", "common", F.coalesce("root", "row").alias("own"))
-        apart = saved(rows.groupBy("around").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y"))
-        largest = apart.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        share = min(1.0, max(TRIED * share, TRIED / largest))
-        rows = saved(rows.join(apart, "around", "left_semi"))
-        keyed = rows.select(F.col("row").alias("id"), "lo", "hi", "size", "common", "own").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long, size long, common long, own long")
-        edges = edges.unionByName(verified(saved(links(keyed, ["lo", "hi", "size", "common", "own"], most, share, similarity).distinct())))
-        of = saved(components(edges))
-        rows = rows.drop("own")
+    shingles = saved(own.select("row", "text").join(rows.select("row"), "row", "left_semi").mapInArrow(sets, "row long, shingles array<long>"))
+    of = saved(components(family_links(rows, shingles, similarity)))
     return prints.join(of, prints["row"] == of["node"], "left").select("row", "doc_id", F.coalesce("root", "row").alias("component"))
 
 

@@ -330,3 +330,64 @@ def test_pipeline_stages(spark):
             assert set(kept) <= ids and len(kept) == len(set(kept)) and len(kept) > 0.75 * len(ids)
         d = out
     assert p.run(spark, f"{DATA}/sf0.01").count() == d.count()
+
+
+def test_meetings_count_common_shingles():
+    rng = np.random.default_rng(3)
+    for rows, n in ((40, 40), (40, 15), (300, 300), (300, 120), (1, 1), (5, 0)):
+        base = rng.integers(0, 2**62, 60)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(0, 60), replace=False), rng.integers(0, 200, rng.integers(0, 30))]).astype(np.int64) for _ in range(rows)]
+        met = simhash.common_shingles(sets, n)
+        pairs = [(i, j) for i in range(n) for j in (range(i + 1, n) if rows == n else range(n, rows))]
+        assert all(met[i, j if rows == n else j - n] == len(np.intersect1d(sets[i], sets[j])) for i, j in pairs)
+        a, b = simhash.meeting_links(sets, n, 0.5)
+        root = list(range(rows))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in pairs:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.5 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        want = [find(i) for i in range(rows)]
+        got = list(range(rows))
+        for x, y in zip(a, b, strict=True):
+            got[x] = y
+        assert got == want
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, blocks):
+    """A family of near copies most of which are not alike each other, with chains and with one large group of equals, in one block and in many."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**62, 70)
+    sets = []
+    for i in range(1500):
+        own = base.copy()
+        hit = rng.choice(70, rng.integers(0, 14), replace=False)
+        own[hit] = rng.integers(0, 2**62, len(hit))
+        sets.append(np.unique(own if i % 3 else base if i % 2 else own[:40]))
+    sets += [np.zeros(0, np.int64)] * 2 + [np.unique(rng.integers(0, 2**62, 70)) for _ in range(60)]
+    monkeypatch.setattr(simhash, "MEETING", sum(len(s) + simhash.ROW for s in sets) // blocks + 1)
+    number = {}
+    one_hot = np.zeros((len(sets), sum(map(len, sets))), np.float32)
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            one_hot[i, number.setdefault(x, len(number))] = 1
+    one_hot = one_hot[:, : len(number)]
+    both, size = one_hot @ one_hot.T, np.array([len(s) for s in sets])
+    alike = both >= 0.8 * (size[:, None] + size[None, :] - both)
+    assert 0.02 < alike.mean() < 0.5
+    want = np.arange(len(sets))
+    while True:
+        new = np.where(alike, want[None, :], len(sets)).min(1)
+        if (new == want).all():
+            break
+        want = new
+    rows = saved(spark.createDataFrame([(i, 0) for i in range(len(sets))], "row long, around long"))
+    shingles = saved(spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "row long, shingles array<long>"))
+    of = {r.node: r.root for r in simhash.components(simhash.family_links(rows, shingles, 0.8)).collect()}
+    assert [of.get(i, i) for i in range(len(sets))] == want.tolist()
