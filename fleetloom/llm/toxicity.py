@@ -358,7 +358,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that aren't predicted toxic, with the columns of docs."""
     names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     kept = score_toxicity(own, labels.withColumnRenamed("doc_id", names["doc_id"]), id_col=names["doc_id"], text=names["text"], **options).where("toxic_predicted = 0")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
