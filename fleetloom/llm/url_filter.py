@@ -49,8 +49,10 @@ def whole_tokens(literal: str, open_left: bool, open_right: bool) -> list[str]:
 
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
-    name = host + path
-    return Rule(name, verdict, (1, len(name), len(host), name), rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}", tuple(whole_tokens(name, False, True)))
+    """A rule without a path is for the whole host, whatever follows it."""
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    name, end = host + path, "" if path else r"(?=[/?#]|\Z)"
+    return Rule(name, verdict, (1, len(name), len(host), name), rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(path)}{end}", tuple(whole_tokens(name, False, bool(path))))
 
 
 def pattern_rule(pattern: str, verdict: str) -> Rule:
@@ -63,13 +65,13 @@ def pattern_rule(pattern: str, verdict: str) -> Rule:
         if piece == "*":
             regex += ".*"
         elif piece == "^":
-            regex += r"(?:[^A-Za-z0-9_.%-]|$)"
+            regex += r"(?:[^A-Za-z0-9_.%-]|\Z)"
         elif piece:
             left = pieces[i - 1] if i else "||" if label else "*"
             right = pieces[i + 1] if i + 1 < len(pieces) else "|" if end else "*"
             regex += re.escape(piece)
             tokens += whole_tokens(piece, left == "*", right == "*")
-    regex = (r"^[^/?#]*?(?<![^.])" if label else "") + regex + ("$" if end else "")
+    regex = (r"^[^/?#]*?(?<![^.])" if label else "") + regex + (r"\Z" if end else "")
     return Rule(pattern, verdict, (0, int(verdict == "allow"), len(pattern), pattern), regex, tuple(tokens))
 
 
@@ -143,7 +145,7 @@ def _judged(parts: DataFrame, rules: list[Rule], index: dict) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: Iterable[Rule] | None = None, *, url: str = "url", default: str = "allow", max_broadcast: int = MAX_BROADCAST_RULES) -> DataFrame:
     """Add host, path, rule (of the host rule that decides, else null), pattern (likewise) and verdict to pages.
 
-    Columns of pages with these names are replaced. Rules are broadcast in blocks of max_broadcast; each block is judged
+    Columns of pages with these names, in either case, are replaced. Rules are broadcast in blocks of max_broadcast; each block is judged
     by the same function, and the best rule of all blocks decides, so the blocks don't show in the result."""
     rules = list(default_rules() if rules is None else rules)
     own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("own"), F.col(f"`{url}`").alias("__url"))
@@ -157,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | None = None, *, url: s
         parts = _judged(parts if not at else saved(parts), block, {t: ids for t, ids in mine.items() if ids})
     is_host = F.col("best.host_rule") == 1
     return parts.select(
-        *[F.col("own").getField(c).alias(c) for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")],
+        *[F.col("own").getField(c).alias(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "pattern", "verdict")],
         "host", "path", F.when(is_host, F.col("best.name")).alias("rule"), F.when(~is_host, F.col("best.name")).alias("pattern"),
         F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
     )

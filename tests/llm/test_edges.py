@@ -396,3 +396,19 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_host_rules_without_a_path_and_columns_in_another_case(spark):
+    pages = spark.createDataFrame([(1, "http://example.com"), (2, "http://example.community/x"), (3, "http://a.EXAMPLE.com/y?z"), (4, "http://example.com#f"), (5, "http://x.org/?ref=x\n"), (6, "http://x.org/?ref=x"), (7, "http://badexample.com/")], "page_id long, url string").withColumns({"Host": F.lit("own"), "VERDICT": F.lit(1), "a.b": F.lit(2)})
+    rules = [url_filter.host_rule("Example.COM", "", "block"), url_filter.pattern_rule("^ref=x|", "block")]
+    for most in (1, 10):
+        rows = url_filter.filter_urls(pages, rules, max_broadcast=most)
+        assert rows.columns == ["page_id", "url", "a.b", "host", "path", "rule", "pattern", "verdict"]
+        assert {r.page_id for r in rows.where("verdict = 'block'").collect()} == {1, 3, 4, 6}
+
+
+def test_toxicity_stage_keeps_columns_with_dots(spark):
+    docs = spark.createDataFrame([(i, "some plain words" if i % 2 else "idiot scum") for i in range(30)], "doc_id long, text string").withColumns({"a.b": F.lit(1), "Text.x": F.lit(2)})
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} <= {0, 1}
