@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.scratch import stored
@@ -78,6 +79,57 @@ def running_total(rows: DataFrame, key: str, order: list[str], count: str) -> Da
     return running_totals(rows, key, order, [count]).withColumnsRenamed({f"{count}_before": "before", f"{count}_total": "total"})
 
 
+def running_max(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Add before: the largest value (of any type that has an order, structs too) of the earlier rows of the key by order; null where there is none.
+
+    Ranges as in running_totals, so a large key takes many partitions. Order and key tell rows apart."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.max(value).alias("__top"))
+    tops = tops.select("__key", "__of", F.max("__top").over(so_far(Window.partitionBy("__key").orderBy("__of"))).alias("__earlier"))
+    here = placed.withColumn("__here", F.max(value).over(so_far(Window.partitionBy(key, "__part").orderBy(*order))))
+    met = here.join(tops, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
+    larger = F.col("__here").isNull() | (F.col("__earlier") > F.col("__here"))
+    return met.select(*rows.columns, F.when(larger, F.col("__earlier")).otherwise(F.col("__here")).alias("before"))
+
+
+def covered(intervals: DataFrame, key: str) -> DataFrame:
+    """intervals (key, id, a, b; from a to before b) that begin before some other of the key, which began no later (by a, then id), has ended.
+
+    The largest end so far decides, so an interval that spans several later ones is seen by all of them."""
+    real = intervals.where("a < b")
+    return running_max(real, key, ["a", "id"], "b").where(F.col("before") > F.col("a")).select(*intervals.columns)
+
+
+def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """rows with value: that of the last of states (key, at, value) of the key at or before the row; null where there is none. Of states at one time the largest value counts.
+
+    One running maximum over both, so a key with many rows and states takes many partitions. rows have a column id that tells those of a key and time apart."""
+    own = rows.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.col("id").cast("string").alias("__id"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast(T.StructType([states.schema[at], states.schema[value]])).alias("__state"))
+    known = states.groupBy(key, at).agg(F.max(value).alias(value))
+    theirs = known.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.lit("").alias("__id"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.struct(at, value).alias("__state"))
+    met = running_max(own.unionByName(theirs), "__k", ["__at", "__kind", "__id"], "__state")
+    return met.where("__kind = 1").select("__row.*", F.col("before").getField(value).alias(value))
+
+
+def sequence_digest(lines: DataFrame, *, width: int = 64, last: int = 1024) -> DataFrame:
+    """lines, digest: one SHA-256 of all lines (line) in their order, with their counts, whatever the partitions.
+
+    Equal lines are counted first. The sorted lines are cut after each whose own digest says so, about every width; each stretch has a
+    digest, and these are cut and digested again until there are at most last. No key and no order is one task's work before that."""
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    now = stored(counted.select(F.col("line").alias("at"), F.sha2(F.concat_ws("|", "line", F.col("n").cast("string")), 256).alias("digest"), "n"))
+    total = now.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
+    now = now.select("at", "digest")
+    while now.count() > last:
+        ends = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % width == 0).cast("long")
+        stretch = running_total(now.withColumn("all", F.lit(0)).withColumn("end", ends), "all", ["at"], "end")
+        now = stored(stretch.groupBy("before").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest")).select(F.col("before").alias("at"), "digest"))
+    whole = now.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest"))
+    return total.join(whole)
+
+
 def quantile_by_index(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
     """key, q, n: the value at index int(p * (n - 1)) of the sorted values of a key, of n that aren't null.
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 import sys
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -86,3 +90,44 @@ class Rotating:
             self.now[x >> 3] |= 1 << (x & 7)
         self.items += 1
         return False
+
+
+#: Rows that a task counts before its summary is cut again.
+HELD = 1 << 16
+
+
+def frequent(rows: DataFrame, key: str, counters: int) -> DataFrame:
+    """key, low: a summary of at most so many keys (Misra and Gries): low is at most the key's rows, and less by at most a (counters + 1)th of all rows.
+
+    So every key with more than a (counters + 1)th of the rows is in it. A task holds that many counters and some batches; summaries are
+    merged by adding, and cut once more by the count that comes after the largest."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def cut(counts: pd.Series) -> pd.Series:
+        if len(counts) <= counters:
+            return counts
+        over = counts.nlargest(counters + 1).iloc[-1]
+        return (counts[counts > over]) - over
+
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.Series(dtype="int64")
+        for batch in batches:
+            held = held.add(batch[key].value_counts(), fill_value=0).astype("int64")
+            if len(held) > counters + HELD:
+                held = cut(held)
+        held = cut(held)
+        yield pd.DataFrame({key: held.index.to_numpy(), "low": held.to_numpy()})
+
+    merged = stored(rows.select(key).where(F.col(key).isNotNull()).mapInPandas(summary, f"{key} {kind}, low long").groupBy(key).agg(F.sum("low").alias("low")))
+    # The largest counters + 1 of each partition meet in one task.
+    after = merged.orderBy(F.col("low").desc(), key).limit(counters + 1).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("over")).select(F.when(F.col("n") > counters, F.col("over")).otherwise(0).alias("over"))
+    return merged.join(F.broadcast(after)).where(F.col("low") > F.col("over")).select(key, (F.col("low") - F.col("over")).alias("low"))
+
+
+def frequent_counts(rows: DataFrame, key: str, counters: int) -> DataFrame:
+    """key, n of exactly the keys with more than a (counters + 1)th of the rows that have one: the summary names them, a second pass counts them."""
+    rows = rows.where(F.col(key).isNotNull())
+    few = stored(frequent(rows, key, counters).select(key))
+    # At most counters rows are broadcast.
+    counted = rows.join(F.broadcast(few), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("all")))).where(F.col("n") * (counters + 1) > F.col("all")).select(key, "n")

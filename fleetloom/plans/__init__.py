@@ -1 +1 @@
-from . import endpoints, evaluation, fleet, ingest, reports, stateful, streams, ways  # noqa: F401  # each adds its queries
+from . import endpoints, evaluation, fleet, guarded, ingest, reports, search, stateful, streams, ways  # noqa: F401  # each adds its queries
