@@ -412,3 +412,25 @@ def test_toxicity_stage_keeps_columns_with_dots(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, toxic int")
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} <= {0, 1}
+
+
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\r\n", "\n# ", "\n * ", "\n// ", "  ", "\t\n"])
+def test_notices_are_found_over_any_line_breaks(between):
+    """Each template cut at each word, and at every second and at every word, amid prose."""
+    judge = license_scan.Judge()
+    prose = " ".join(f"some{i} plain prose here" for i in range(30))
+    for name, forms in license_scan.TEMPLATES.items():
+        for form in forms:
+            words = form.split(" ")
+            cuts = [between.join([" ".join(words[:i]), " ".join(words[i:])]) for i in range(1, len(words))]
+            cuts += [between.join(" ".join(words[i : i + n]) for i in range(0, len(words), n)) for n in (1, 2)]
+            for cut in cuts:
+                for text in (cut, f"{prose}\n{cut}\n{prose}", f"{prose} {cut} {prose}"):
+                    found = list(judge.findings(text))
+                    assert [f[0] for f in found] == [name], (text[:200], found)
+
+
+def test_license_scan_takes_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "Released under\nthe MIT License."), (None, "Licensed under CC BY 4.0."), ("c", None)], "doc_id string, text string").withColumn("a.b", F.lit(1))
+    rows = license_scan.scan_licenses(docs).collect()
+    assert {(r.doc_id, r.license) for r in rows} == {("a", "MIT"), (None, "CC-BY-4.0")}
