@@ -118,3 +118,22 @@ def test_search_within_tenants(spark):
     assert all(tenant[r.id] == tenant[r.qid] and r.compared <= 30 for r in found) and hits >= 0.95 * sum(map(len, want.values()))
     none = df.limit(0)
     assert quantise.fit_books(none, cells=4, parts=4) is None and quantise.tenant_search(q, quantise.tenant_index(none, None), None, 5).count() == 0
+
+
+def test_landmarks_direct_a_search(spark):
+    """Ways are those without landmarks, over a third of the opened rows at most; parts that don't hang together and pairs without a way are no trouble."""
+    from fleetloom.operators import graph, routes
+    from fleetloom.sources.scratch import stored
+
+    rng = random.Random(6)
+    n = 8
+    edges = [(x * n + y, (x + dx) * n + y + dy, rng.randint(1, 100)) for x in range(n) for y in range(n) for dx, dy in ((0, 1), (1, 0)) if x + dx < n and y + dy < n] + [(9000, 9001, 4)]
+    e = stored(spark.createDataFrame(edges, "a long, b long, len long"))
+    pairs = spark.createDataFrame([(i, rng.randrange(n * n), rng.randrange(n * n)) for i in range(10)] + [(100, 9000, 9001), (101, 5, 9001), (102, 7, 7)], "id long, a long, b long")
+    marks = routes.landmarks(e)
+    plain, led = (sorted(map(tuple, routes.shortest_ways(e, pairs, marks=m).collect())) for m in (None, marks))
+    assert plain == led and len({r[0] for r in led}) == 12
+    ends = stored(pairs.select("id", "a", F.col("b").alias("goal")))
+    both = graph.both_ways(e)
+    few, all_ = routes.explored(both, ends, marks=marks).count(), routes.explored(both, ends).count()
+    assert few * 3 <= all_, (few, all_)
