@@ -42,6 +42,8 @@ TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK = 4096
 #: Buckets up to this size are compared all at once over a batch.
 SMALL = 8
+#: One in so many tables gathers families first.
+FIRST = 6
 #: Shingles of a block of a family, each row counted as so many besides its own.
 MEETING, ROW = 1 << 19, 512
 #: A shingle in more rows of a meeting than this is counted by a matrix product, so many of them at once.
@@ -176,8 +178,14 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) -> Callable:
-    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null."""
+def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool, labelled: bool = False) -> Callable:
+    """For rows sorted by columns (the key): links (a, b) of buckets; of buckets over BLOCK, unless whole, the members (key, id, fp..., block) with b null.
+
+    labelled: the last of fp_columns is no fingerprint but the group that a row is known to be of; links within a group are left out."""
+    bits = slice(0, len(fp_columns) - labelled)
+
+    def news(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a[:, -1] != b[:, -1] if labelled else np.ones(len(a), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -205,13 +213,14 @@ def linker(columns: list[str], fp_columns: list[str], most: int, whole: bool) ->
                 same = np.flatnonzero(kf[lag:] == kf[:-lag])
                 if not len(same):
                     break
-                ok = same[distances(ff[same], ff[same + lag]) <= most]
+                ok = same[(distances(ff[same][:, bits], ff[same + lag][:, bits]) <= most) & news(ff[same], ff[same + lag])]
                 a.append(idf[ok])
                 b.append(idf[ok + lag])
             for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                i, j = forest(fp[s : s + n], most)
-                a.append(ids[s + i])
-                b.append(ids[s + j])
+                i, j = forest(fp[s : s + n, bits], most)
+                ok = news(fp[s + i], fp[s + j])
+                a.append(ids[s + i[ok]])
+                b.append(ids[s + j[ok]])
             yield ends(a, b)
 
         for batch in batches:
@@ -272,12 +281,12 @@ def finer_keys(members: DataFrame) -> DataFrame:
     return rows
 
 
-def links(keyed: DataFrame, fp_columns: list[str], most: int, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits.
+def links(keyed: DataFrame, fp_columns: list[str], most: int, finer: Callable[[DataFrame], DataFrame] | None = None, labelled: bool = False) -> DataFrame:
+    """a, b: links that span what rows (key, id, fp...) of equal key link within most bits; labelled as for linker.
 
     finer: gives the rows of buckets over BLOCK keys that part them further and miss no link."""
     schema = f"key long, a long, b long, {', '.join(f'{c} long' for c in fp_columns)}, block long"
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False), schema))
+    found = saved(keyed.repartition("key").sortWithinPartitions("key", *fp_columns).mapInArrow(linker(["key"], fp_columns, most, False, labelled), schema))
     members = found.where("b is null").withColumnRenamed("a", "id")
     if finer is not None:
         return found.where("b is not null").select("a", "b").unionByName(links(finer(members.select("key", "id", *fp_columns)), fp_columns, most))
@@ -286,7 +295,7 @@ def links(keyed: DataFrame, fp_columns: list[str], most: int, finer: Callable[[D
     pairs = members.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", *fp_columns)
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True), schema)
+    more = pairs.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", *fp_columns).mapInArrow(linker(["key", "i", "j"], fp_columns, most, True, labelled), schema)
     return found.where("b is not null").select("a", "b").unionByName(more.select("a", "b"))
 
 
@@ -488,20 +497,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     most = most_bits(similarity)
     tables = tables_for(distinct.count(), similarity, recall)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            for at in range(0, batch.num_rows, 4096):
-                part = dict(zip(names, (c[at : at + 4096] for c in cols), strict=True))
-                found = table_keys(part["lo"], part["hi"], tables)
-                n = found.shape[1]
-                yield pa.record_batch([pa.array(found.reshape(-1)), *(pa.array(np.repeat(c, n)) for c in part.values())], names=["key", *names])
-
-    keyed = distinct.select("id", "lo", "hi").repartition("id").mapInArrow(keys, "key long, id long, lo long, hi long")
+    def keyed(rows: DataFrame, tables: list) -> DataFrame:
+        """A row with a key for each row and table."""
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.schema.names
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                for at in range(0, batch.num_rows, 4096):
+                    part = dict(zip(names, (c[at : at + 4096] for c in cols), strict=True))
+                    found = table_keys(part["lo"], part["hi"], tables)
+                    n = found.shape[1]
+                    yield pa.record_batch([pa.array(found.reshape(-1)), *(pa.array(np.repeat(c, n)) for c in part.values())], names=["key", *names])
+
+        return rows.repartition("id").mapInArrow(keys, ", ".join(f"{c} long" for c in ("key", *rows.columns)))
+
     same = prints.join(distinct, ["lo", "hi"]).where("row <> id").select(F.col("row").alias("a"), F.col("id").alias("b"))
-    # What candidates link, alike or not, is a family: it holds every pair of a bucket within most bits.
-    around = components(saved(links(keyed, ["lo", "hi"], most).unionByName(same).distinct()))
+    # What candidates link, alike or not, is a family: it holds every pair of a bucket within most bits. The first tables
+    # gather most of it, so the others only give links between what is still apart, not the same family's links again.
+    first = tables[: -(-len(tables) // FIRST)]
+    begun = components(saved(links(keyed(distinct.select("id", "lo", "hi"), first), ["lo", "hi"], most).distinct()))
+    grouped = saved(distinct.join(begun, F.col("id") == F.col("node"), "left").select("id", "lo", "hi", F.coalesce("root", "id").alias("own")))
+    rest = tables[len(first) :]
+    more = links(keyed(grouped, rest), ["lo", "hi", "own"], most, labelled=True) if rest else same
+    known = grouped.where("id <> own").select(F.col("id").alias("a"), F.col("own").alias("b"))
+    around = components(saved(known.unionByName(more).unionByName(same).distinct()))
     rows = saved(around.select(F.col("node").alias("row"), F.col("root").alias("around")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
