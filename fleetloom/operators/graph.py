@@ -41,6 +41,65 @@ def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return _spread(both_ways(edges), _starts(sources))
 
 
+def _apart(few: DataFrame) -> DataFrame:
+    """Those of few (node, rank, others: node, rank) that have a lower rank than all others beside them, and once more among what is beside none of these: no two are neighbours."""
+    lowest = F.array_min(F.transform("others", lambda o: o["rank"]))
+    marked = few.withColumn("first", lowest.isNull() | (F.col("rank") < lowest))
+    first = marked.where("first")
+    beside = first.select(F.explode("others.node").alias("node")).distinct()
+    free = marked.where("NOT first").join(beside, "node", "left_anti")
+    again = free.select("node", F.explode("others").alias("o")).select("node", "o.rank", F.col("o.node").alias("other")).join(free.select(F.col("node").alias("other")), "other", "left_semi")
+    least = again.groupBy("node").agg(F.min("rank").alias("lowest"))
+    return first.select("node").unionByName(free.join(least, "node", "left").where("lowest IS NULL OR rank < lowest").select("node"))
+
+
+def contracted(e: DataFrame, kept: DataFrame, *, degree: int = 3, least_share: int = 16) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of e (as both_ways gives it) without its nodes of few edges, and those nodes (node, beside: b, len) round by round.
+
+    A round takes out nodes of at most degree edges, no two of them neighbours and none of kept (node), and joins their
+    neighbours to each other at the length of the way through them; distances between nodes that are left stay as they are.
+    Up to degree 3 that adds no more edges than it removes. Nearly half of a long way goes in a round, so rounds grow with
+    the logarithm of its length. It ends when a round takes fewer than one node in least_share."""
+    rounds: list[DataFrame] = []
+    e = stored(e.where("a <> b"))
+    kept = stored(kept.select("node").distinct())
+    nodes = e.select("a").distinct().count()
+    while True:
+        few = e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") <= degree).join(kept, "node", "left_anti")
+        few = few.select("node", F.struct(F.xxhash64("node", F.lit(len(rounds))).alias("hash"), "node").alias("rank"))
+        # Lists of at most degree entries.
+        beside = e.join(few.select(F.col("node").alias("a"), F.col("rank").alias("own")), "a").join(few.select(F.col("node").alias("b"), "rank"), "b", "left")
+        other = F.when(F.col("rank").isNotNull(), F.struct(F.col("b").alias("node"), "rank"))
+        few = stored(beside.groupBy(F.col("a").alias("node")).agg(F.first("own").alias("rank"), F.collect_list(other).alias("others")))
+        chosen = _apart(few).withColumnRenamed("node", "a")
+        gone = stored(e.join(chosen, "a", "left_semi").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct("b", "len")).alias("beside")))
+        taken = gone.count()
+        if taken:
+            ways = gone.select(F.explode("beside").alias("x"), "beside").select("x", F.explode("beside").alias("y")).where("x.b <> y.b")
+            ways = ways.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), (F.col("x.len") + F.col("y.len")).alias("len"))
+            left = e.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+            e = stored(left.select("a", "b", "len").unionByName(ways).groupBy("a", "b").agg(F.min("len").alias("len")))
+            rounds.append(gone)
+        nodes -= taken
+        if taken * least_share <= nodes or not taken:
+            return e, rounds
+
+
+def nearest_by_shortcuts(edges: DataFrame, sources: DataFrame, **options) -> DataFrame:
+    """The rows of nearest_source, for graphs with long ways: nodes of few edges are taken out, what is left is searched, and they are put back.
+
+    A node put back is as near as the nearest of its neighbours makes it; all of these are there by then. Rows that rounds
+    write shrink with the graph, so all of them together are a few times as many as its edges."""
+    core, rounds = contracted(both_ways(edges), sources.where("node IS NOT NULL"), **options)
+    best = stored(_spread(core, _starts(sources)))
+    for gone in reversed(rounds):
+        near = best.select(F.col("node").alias("b"), "dist", "source")
+        offers = gone.select("node", F.explode("beside").alias("x")).select("node", "x.b", "x.len").join(near, "b")
+        back = offers.groupBy("node").agg(F.min(F.struct((F.col("dist") + F.col("len")).cast("long").alias("dist"), "source")).alias("at"))
+        best = stored(best.unionByName(back.select("node", "at.dist", "at.source")))
+    return best
+
+
 def add_sources(edges: DataFrame, overlay: DataFrame, sources: DataFrame) -> DataFrame:
     """overlay (node, dist, source) when sources (node) open: only what comes nearer to one of them is looked at."""
     both = _placed(overlay, F.lit(False)).unionByName(_starts(sources))

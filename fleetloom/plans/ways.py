@@ -33,6 +33,21 @@ def outage_overlay(spark, sf_dir):
     return graph.nearest_source(road(spark, sf_dir), charged(spark, sf_dir).join(last.where("last.status = 'O'"), "node", "left_anti"))
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, sum(o_custkey % 50 + 1) OVER w AS pos, o_orderkey % 997 = 3 AS charged, o_orderkey % 10 AS line FROM orders WINDOW w AS (PARTITION BY o_orderkey % 10 ORDER BY o_orderkey)),
+n AS (SELECT k, pos, max(k) FILTER (WHERE charged) OVER b AS bk, max(pos) FILTER (WHERE charged) OVER b AS bat, min(k) FILTER (WHERE charged) OVER a AS ak, min(pos) FILTER (WHERE charged) OVER a AS aat FROM o
+  WINDOW b AS (PARTITION BY line ORDER BY k), a AS (PARTITION BY line ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+d AS (SELECT k, least(pos - bat, aat - pos) AS dist, CASE WHEN aat IS NULL OR pos - bat <= aat - pos THEN bk ELSE ak END AS source FROM n WHERE bk IS NOT NULL OR ak IS NOT NULL)
+SELECT k * 8 AS node, CAST(dist AS BIGINT) AS dist, source * 8 AS source FROM d
+UNION ALL SELECT k * 8 + l_linenumber, CAST(min(dist + l_quantity::BIGINT) AS BIGINT), min(source) * 8 FROM d JOIN lineitem ON l_orderkey = k GROUP BY k, l_linenumber""")
+def long_way_overlay(spark, sf_dir):
+    """Nearest chargers along ten lines of orders (each tenth is the next stop) with line items beside them: ways with hundreds of stops and more."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey") % 50 + 1)
+    stops = o.toDF("k", "len")
+    rails = stops.join(stops.select((F.col("k") + 10).alias("k")), "k").select(((F.col("k") - 10) * 8).alias("a"), (F.col("k") * 8).alias("b"), F.col("len").cast("long").alias("len"))
+    sides = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8).alias("a"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("b"), F.col("l_quantity").cast("long").alias("len"))
+    return graph.nearest_by_shortcuts(rails.unionByName(sides), stops.where("k % 997 = 3").select((F.col("k") * 8).alias("node")))
+
+
 @query(f"""WITH RECURSIVE {ROAD}, d0 AS ({CHARGED}){REACH}, n AS MATERIALIZED ({NEAR}),
 h AS MATERIALIZED (SELECT e.a AS node, min(e.b) AS hop FROM e JOIN n p ON p.node = e.a JOIN n q ON q.node = e.b WHERE p.dist > 0 AND p.source = q.source AND p.dist = q.dist + e.len GROUP BY 1),
 w AS (SELECT node AS id, 0::BIGINT AS step, node FROM n WHERE node % 2 = 0 UNION ALL SELECT w.id, w.step + 1, h.hop FROM w JOIN h ON h.node = w.node)

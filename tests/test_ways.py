@@ -1,3 +1,4 @@
+import heapq
 import itertools
 import random
 
@@ -9,7 +10,7 @@ from fleetloom.operators import charging, graph, routes
 from fleetloom.plans import stateful, ways
 from fleetloom.plans.fleet import ORACLES, QUERIES
 
-SQL = ["outage_overlay", "charger_routes", "nearest_node", "simplified_soc_curve", "heavy_hitters"]
+SQL = ["outage_overlay", "charger_routes", "nearest_node", "simplified_soc_curve", "heavy_hitters", "long_way_overlay"]
 
 
 @pytest.mark.parametrize("name", SQL)
@@ -39,6 +40,48 @@ def test_routes_are_as_long_as_their_distance(spark):
         assert sum(edges[min(x), max(x)] for x in itertools.pairwise(way)) == dist
 
 
+def dijkstra(edges, sources):
+    beside = {}
+    for a, b, n in edges:
+        beside.setdefault(a, []).append((b, n))
+        beside.setdefault(b, []).append((a, n))
+    heap, at = [(0, s, s) for s in sources], {}
+    heapq.heapify(heap)
+    while heap:
+        dist, source, node = heapq.heappop(heap)
+        if node not in at:
+            at[node] = (dist, source)
+            for other, n in beside.get(node, ()):
+                heapq.heappush(heap, (dist + n, source, other))
+    return at
+
+
+def test_shortcuts_take_few_rounds_on_a_long_path(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1, rng.randrange(1, 90)) for i in range(10_000)]
+    df, sources = spark.createDataFrame(edges, "a long, b long, len long"), spark.createDataFrame([(77,)], "node long")
+    made, whole = [], graph.contracted
+    monkeypatch.setattr(graph, "contracted", lambda *given, **options: made.append(whole(*given, **options)) or made[-1])
+    got = {r.node: (r.dist, r.source) for r in graph.nearest_by_shortcuts(df, sources).collect()}
+    assert got == dijkstra(edges, [77])
+    ((core, rounds),) = made
+    # Each round is undone once; the search takes at most a round for each node that is left.
+    assert 2 * len(rounds) + max(1, core.select("a").distinct().count()) <= 40
+
+
+def test_shortcuts_in_graphs_of_any_shape(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300), rng.randrange(1, 9)) for _ in range(330)]  # loops, parallel edges, parts without a source
+    edges += [(0, i, rng.randrange(1, 9)) for i in range(300, 500)] + [(i, i + 1, 1) for i in range(600, 660)] + [(660, 600, 2)]  # a hub and a ring
+    df = spark.createDataFrame([*edges, (None, 4, 1), (5, None, 1)], "a long, b long, len long")
+    for sources in ([3, 30, 620, 9999], []):
+        s = spark.createDataFrame([(x,) for x in [*sources, None]], "node long")
+        got = sorted((r.node, r.dist, r.source) for r in graph.nearest_by_shortcuts(df, s).collect())
+        assert got == sorted((n, *at) for n, at in dijkstra(edges, sources).items())
+    empty = df.limit(0)
+    assert [tuple(r) for r in graph.nearest_by_shortcuts(empty, spark.createDataFrame([(1,)], "node long")).collect()] == [(1, 0, 1)]
+
+
 def test_sampled_ways_keep_both_ends(spark):
     for n in (1, 39, 40, 41, 500):
         got = sorted(r.step for r in routes.sampled(spark.range(n).selectExpr("1 AS id", "id AS step")).collect())
