@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import cloudpickle
@@ -57,7 +58,20 @@ def cheapest(capacity: float, start: float, target: float, power: float, price:
 
 
 def soonest(capacity: float, start: float, target: float, power: float, price: np.ndarray) -> tuple[float, np.ndarray] | None:
-    """As cheapest, but charging at once, as much as each free slot adds, whatever the price."""
+    """As cheapest, but charging at once at full power up to the very target, whatever the price; what slots add isn't whole steps."""
+    level, cost, used = start, 0.0, np.zeros(len(price))
+    for t in np.flatnonzero(np.isfinite(price)):
+        if level >= target - 1e-9:
+            break
+        add = min(power * SLOT_H * EFFICIENCY * float(taper(np.float64(level / capacity))), target - level, capacity - level)
+        used[t] = add / STEP
+        cost += float(price[t]) * add / EFFICIENCY
+        level += add
+    return (cost, used) if level >= target - 1e-6 else None
+
+
+def soonest_steps(capacity: float, start: float, target: float, power: float, price: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """As soonest, in whole steps to the level that cheapest ends at: no plan of cheapest can cost more."""
     top, room = levels(capacity, start, target, power)
     level, cost, used = 0, 0.0, np.zeros(len(price), int)
     for t in np.flatnonzero(np.isfinite(price)):
@@ -76,12 +90,11 @@ def share_out(vehicles: DataFrame, chargers: DataFrame) -> DataFrame:
     return v.join(size, "depot").withColumn("__i", F.col("__r") % F.col("__n")).drop("__n", "__r").join(c.drop("__n"), ["depot", "__i"]).drop("__i")
 
 
-def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float = 80.0, at_once: bool = False) -> DataFrame:
-    """vin, charger, feasible, cost, slots (steps of 0.25 kWh in each slot, comma-joined) for vehicles (vin, charger, power, capacity, soc).
+def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float = 80.0, way: Callable = cheapest) -> DataFrame:
+    """vin, charger, feasible, cost, slots (steps of 0.25 kWh in each slot, comma-joined; not whole ones from soonest) for vehicles (vin, charger, power, capacity, soc).
 
     A charger serves its vehicles in order of charge, and a slot once: a fold by charger whose state is the taken slots.
-    at_once: the baseline that doesn't look at prices."""
-    way = soonest if at_once else cheapest
+    way: cheapest, or one of the baselines that don't look at prices, soonest and soonest_steps."""
     base = np.asarray(prices, float)
 
     def step(taken: np.ndarray, row: tuple) -> tuple:
@@ -90,7 +103,7 @@ def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float =
         if found is None:
             return vin, charger, False, 0.0, ""
         taken |= found[1] > 0
-        return vin, charger, True, found[0], ",".join(map(str, found[1]))
+        return vin, charger, True, found[0], ",".join(map(str, found[1].tolist()))
 
     rows = vehicles.where(F.col("soc") < target_pct).where("capacity > 0").select("charger", "soc", "vin", "power", "capacity")
     return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, feasible boolean, cost double, slots string")
@@ -98,7 +111,7 @@ def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float =
 
 def intervals(plans: DataFrame) -> DataFrame:
     """vin, charger, first_slot, end_slot (exclusive), kwh of the unbroken stretches of plans (vin, charger, feasible, slots)."""
-    slots = plans.where("feasible AND slots <> ''").select("vin", "charger", F.posexplode(F.split("slots", ",")).alias("slot", "steps")).withColumn("steps", F.col("steps").cast("int")).where("steps > 0")
+    slots = plans.where("feasible AND slots <> ''").select("vin", "charger", F.posexplode(F.split("slots", ",")).alias("slot", "steps")).withColumn("steps", F.col("steps").cast("double")).where("steps > 0")
     runs = slots.withColumn("run", F.col("slot") - F.row_number().over(Window.partitionBy("vin", "charger").orderBy("slot")))
     found = runs.groupBy("vin", "charger", "run").agg(F.min("slot").alias("first_slot"), (F.max("slot") + 1).alias("end_slot"), (F.sum("steps") * F.lit(STEP)).alias("kwh"))
     return found.drop("run")

@@ -112,5 +112,41 @@ def charge_plan_intervals(spark, sf_dir):
 def charge_plan_saving(spark, sf_dir):
     """Cost of the plans beside charging at once, per charger. No SQL, as for the plans themselves; a test bounds one by the other."""
     v = plannable(spark, sf_dir)
-    best, plain = (charging.charge_plan(v, slot_prices(), at_once=b).where("feasible").select("vin", "charger", F.col("cost").alias(n)) for b, n in ((False, "planned"), (True, "at_once")))
+    best, plain = (charging.charge_plan(v, slot_prices(), way=w).where("feasible").select("vin", "charger", F.col("cost").alias(n)) for w, n in ((charging.cheapest, "planned"), (charging.soonest, "at_once")))
     return best.join(plain, ["vin", "charger"]).groupBy("charger").agg(F.count(F.lit(1)).alias("vehicles"), F.round(F.sum("planned"), 2).alias("planned"), F.round(F.sum("at_once"), 2).alias("at_once"))
+
+
+#: The vehicles of each charger in order, and the price of each slot; energies as doubles.
+PLANNABLE = f"""{TEL}, l AS (SELECT vin, tenant AS depot, soc FROM tel QUALIFY row_number() OVER (PARTITION BY vin ORDER BY seq DESC) = 1), v0 AS (SELECT *, row_number() OVER (PARTITION BY depot ORDER BY soc, vin) - 1 AS r FROM l WHERE soc < 75),
+c0 AS (SELECT s_suppkey AS charger, s_suppkey % 5 AS depot, CASE WHEN s_suppkey % 2 = 0 THEN 22 ELSE 11 END::DOUBLE * 0.25::DOUBLE * 0.93::DOUBLE AS most, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_suppkey % 5) AS n FROM supplier),
+v AS MATERIALIZED (SELECT vin, charger, most, (vin % 30 + 40)::DOUBLE AS cap, soc::DOUBLE / 100 * (vin % 30 + 40)::DOUBLE AS start, 0.8::DOUBLE * (vin % 30 + 40)::DOUBLE AS target, row_number() OVER (PARTITION BY charger ORDER BY soc, vin) AS i FROM v0 JOIN c0 ON c0.depot = v0.depot AND c0.i = v0.r % c0.n),
+p AS MATERIALIZED (SELECT * FROM (VALUES {", ".join(f"({t}, {x}::DOUBLE)" for t, x in enumerate(slot_prices()))}) AS x(t, price))"""
+SLOTS = len(slot_prices())
+TAKES = "most * CASE WHEN {e} / cap <= 0.8::DOUBLE THEN 1.0::DOUBLE ELSE greatest(0.15::DOUBLE, 1 - ({e} / cap - 0.8::DOUBLE) / 0.2::DOUBLE * 0.85::DOUBLE) END"
+
+
+@query(f"""WITH RECURSIVE {PLANNABLE}, g AS (SELECT charger, i, 0 AS t, 0 AS first, start AS e, 0.0::DOUBLE AS cost FROM v WHERE i = 1
+ UNION ALL
+ SELECT charger, CASE WHEN over THEN i + 1 ELSE i END, CASE WHEN NOT over THEN t + 1 WHEN reached THEN t ELSE first END, CASE WHEN over AND reached THEN t ELSE first END,
+   CASE WHEN over THEN after ELSE e + add END, CASE WHEN over THEN 0.0::DOUBLE ELSE cost + price * add / 0.93::DOUBLE END
+ FROM (SELECT g.*, after, price, e >= target - 1e-9::DOUBLE OR t >= {SLOTS} AS over, e >= target - 1e-6::DOUBLE AS reached, least({TAKES.format(e="e")}, target - e, cap - e) AS add
+   FROM g JOIN v USING (charger, i) LEFT JOIN (SELECT charger, i - 1 AS i, start AS after FROM v) USING (charger, i) LEFT JOIN p USING (t)) WHERE NOT over OR after IS NOT NULL)
+SELECT vin, charger, e >= target - 1e-6::DOUBLE AS feasible, CASE WHEN e >= target - 1e-6::DOUBLE THEN CAST(floor(cost * 100 + 0.5::DOUBLE) AS BIGINT) ELSE 0 END AS cost_c FROM g JOIN v USING (charger, i) WHERE e >= target - 1e-9::DOUBLE OR t >= {SLOTS}""")
+def charge_at_once(spark, sf_dir):
+    """What charging costs, in cents, where each vehicle charges at full power from the first free slot of its charger."""
+    plans = charging.charge_plan(plannable(spark, sf_dir), slot_prices(), way=charging.soonest)
+    return plans.select("vin", "charger", "feasible", F.floor(F.col("cost") * 100 + 0.5).alias("cost_c"))
+
+
+@query(f"""WITH RECURSIVE {PLANNABLE}, one AS MATERIALIZED (SELECT *, CAST(greatest(0, least(ceil((target - start) / 0.25::DOUBLE - 1e-9::DOUBLE), floor((cap - start) / 0.25::DOUBLE + 1e-9::DOUBLE))) AS BIGINT) AS top FROM v WHERE i = 1),
+room AS MATERIALIZED (SELECT charger, level, CAST(floor(({TAKES.format(e="(start + 0.25::DOUBLE * level)")} + 1e-9::DOUBLE) / 0.25::DOUBLE) AS BIGINT) AS room, top FROM one, LATERAL (SELECT unnest(range(top + 1)) AS level)),
+f AS (SELECT charger, 0 AS t, 0::BIGINT AS level, 0.0::DOUBLE AS cost FROM one
+ UNION ALL
+ SELECT charger, t + 1, level + k, min(cost + price * k * 0.25::DOUBLE / 0.93::DOUBLE) FROM (SELECT charger, t, level, cost, price, unnest(range(least(room, top - level) + 1)) AS k FROM f JOIN room USING (charger, level) JOIN p USING (t)) GROUP BY 1, 2, 3)
+SELECT vin, one.charger, cost IS NOT NULL AS feasible, CAST(coalesce(floor(cost * 100 + 0.5::DOUBLE), 0) AS BIGINT) AS cost_c FROM one LEFT JOIN f ON f.charger = one.charger AND f.level = one.top AND f.t = {SLOTS}""")
+def charge_plan_first(spark, sf_dir):
+    """Cost of the plan, in cents, of the first vehicle of each charger, which finds all slots free."""
+    v = plannable(spark, sf_dir)
+    first = v.groupBy("charger").agg(F.min_by("vin", F.struct("soc", "vin")).alias("vin"))
+    plans = charging.charge_plan(v, slot_prices()).join(first, ["charger", "vin"], "left_semi")
+    return plans.select("vin", "charger", "feasible", F.floor(F.col("cost") * 100 + 0.5).alias("cost_c"))

@@ -10,7 +10,7 @@ from fleetloom.operators import charging, graph, routes
 from fleetloom.plans import stateful, ways
 from fleetloom.plans.fleet import ORACLES, QUERIES
 
-SQL = ["outage_overlay", "charger_routes", "nearest_node", "simplified_soc_curve", "heavy_hitters", "long_way_overlay"]
+SQL = ["outage_overlay", "charger_routes", "nearest_node", "simplified_soc_curve", "heavy_hitters", "long_way_overlay", "charge_at_once", "charge_plan_first"]
 
 
 @pytest.mark.parametrize("name", SQL)
@@ -118,7 +118,7 @@ def test_plans_cost_no_more_than_charging_at_once(spark):
     for price in (stateful.slot_prices(), [12.0] * 28 + [5.0] * 28):
         for soc in (20.0, 50.0, 79.0):
             one = spark.createDataFrame([(1, 1, 11.0, 50.0, soc)], "vin long, charger long, power double, capacity double, soc double")
-            best, plain = (charging.charge_plan(one, price, at_once=b).first() for b in (False, True))
+            best, plain = (charging.charge_plan(one, price, way=w).first() for w in (charging.cheapest, charging.soonest_steps))
             assert best.feasible and plain.feasible and best.cost <= plain.cost + 1e-9
             steps = [sum(map(int, p.slots.split(","))) for p in (best, plain)]
             assert steps[0] == steps[1]
@@ -129,3 +129,11 @@ def test_intervals_join_neighbouring_slots(spark):
     got = sorted(tuple(r) for r in charging.intervals(plans).collect())
     assert got == [(1, 7, 1, 3, pytest.approx(1.25)), (1, 7, 5, 6, pytest.approx(1.0)), (1, 7, 7, 8, pytest.approx(0.25))]
     assert np.isclose(sum(g[4] for g in got), 2.5)
+
+
+def test_charging_at_once_ends_at_the_very_target():
+    price = np.array([5.0, np.inf, 7.0, 9.0])
+    cost, used = charging.soonest(50.0, 33.3, 36.0, 7.0, price)
+    # 7 kW add 1.6275 kWh a slot below 80 %; the rest of the 2.7 kWh comes in the next free slot.
+    assert used * charging.STEP == pytest.approx([1.6275, 0, 1.0725, 0]) and cost == pytest.approx((5 * 1.6275 + 7 * 1.0725) / 0.93)
+    assert charging.soonest(50.0, 33.3, 45.0, 7.0, price) is None and charging.soonest(50.0, 40.0, 40.0, 7.0, price)[0] == 0.0
