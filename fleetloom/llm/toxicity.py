@@ -1,8 +1,9 @@
 """Toxicity scores of deobfuscated text.
 
 Noisy-channel decoding: a token that may be disguised (digits or signs between letters, letters repeated three times or
-more, single letters set apart by spaces or dots) is a lattice of characters, each with what it may stand for and what
-that costs. Viterbi decoding under a character trigram model, counted over all documents, restores the likeliest word.
+more, single letters or pairs set apart by anything that is no letter, a word cut in two) is a lattice of characters, each
+with what it may stand for and what that costs. Before that, widths and ligatures are folded (NFKC), characters without a
+width go, and look-alikes of other alphabets become Latin letters where they stand among such. Viterbi decoding under a character trigram model, counted over all documents, restores the likeliest word.
 The words of a document, as they stand and restored, are then looked up in a word list learnt from labels; a logistic
 regression of the strongest word's weight and of the sum of the others', fitted on the same labels, gives the score.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -46,14 +48,21 @@ THRESHOLD = 0.7
 SYMBOLS = 60
 #: What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SEPARATORS = " .-_*"
+#: Look-alikes of Latin letters, and what they look like: Cyrillic, then Greek.
+LOOK_ALIKES = str.maketrans("аеорсухіјѕԁһӏкмт" + "οαινρυκτ", "aeopcyxijsdhlkmt" + "oaivpukt")
 COST_LEET, COST_REPEAT, COST_SEPARATOR, COST_STRAY = 0.7, 1.0, 0.5, 9.0
 
 #: Characters that are counted at once.
 PIECE = 1 << 20
 
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\W_])")
-#: Three letters set apart by single spaces or signs begin a spaced word.
+#: Three pieces or more of one or two letters, set apart by anything else.
+SPACED = re.compile(r"(?<![^\W_])[^\W_]{1,2}(?![^\W_])(?:[\W_]+[^\W_]{1,2}(?![^\W_])){2,}")
+SINGLE = re.compile(r"(?<![^\W_])[^\W_](?![^\W_])")
+#: Neighbours of up to four letters may be one word.
+HALVES = re.compile(r"(?<![^\W_])([^\W\d_]{1,4})(?=[\W_]+([^\W\d_]{1,4})(?![^\W_]))")
+WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+WORD_RUN = re.compile(r"[^\W\d_]+")
+LATIN = re.compile("[a-z]")
 REPEATED = re.compile(r"(.)\1\1")
 TRIPLE = re.compile(r"(.)\1\1+")
 DISGUISED = re.compile(r"(.)\1\1|[^\W\d_][\d@$!|+(€£._*-]+[^\W\d_]|[\d@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[\d@$!|+€£]")
@@ -62,6 +71,20 @@ EDGES = "\"'`.,;:!?()[]{}<>#%&*$-_=~|/\\"
 OPENING = "\"'`.,;:?[]{}<>#%&*-_=~/\\"
 
 
+def alike(text: str) -> str:
+    """text with its look-alikes as Latin letters, if it has Latin letters."""
+    return text.translate(LOOK_ALIKES) if LATIN.search(text) else text
+
+
+def folded(text: str) -> str:
+    """Lower case without widths, ligatures, invisible characters, and look-alikes in Latin words."""
+    low = text.lower()
+    if low.isascii():
+        return low
+    low = unicodedata.normalize("NFKC", WIDTHLESS.sub("", low)).lower()
+    return WORD_RUN.sub(lambda m: m[0] if m[0].isascii() else alike(m[0]), low)
+
+
 def codes(text: str) -> np.ndarray:
     """Alphabet numbers of the characters of a text in lower case."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -131,25 +154,24 @@ class Model:
         self.logp = np.log((n + weight * two) / (n.sum(2, keepdims=True) + weight)).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """What each run of a character in a token may stand for, and what that costs."""
-    out = []
     for c, run in groupby(token):
         k = len(list(run))
         if c.isalpha():
             ways = [(c, (0.0, 3 * COST_REPEAT, COST_REPEAT)[min(k, 3) - 1])] + ([(c * 2, 0.0 if k == 2 else COST_REPEAT)] if k > 1 else [])
         elif c in LEET:
             ways = [(x * min(j, k), COST_LEET * (1 + (j < k))) for x in LEET[c] for j in ({1, k} if k < 3 else {1, 2})] + [("", COST_STRAY)] * (c in "!|$+(")
-        elif c in SEPARATORS:
-            ways = [("", COST_SEPARATOR), (" ", COST_SEPARATOR)]
         else:
-            ways = [(" ", 0.0)]
-        out.append(ways)
-    return out
+            ways = [("", COST_SEPARATOR), (" ", COST_SEPARATOR)]
+        yield ways
 
 
 def decode(token: str, logp: np.ndarray) -> str:
-    """The likeliest words for a disguised token, by Viterbi over its lattice; states are the last two symbols."""
+    """The likeliest words for a disguised token, by Viterbi over its lattice; states are the last two symbols.
+
+    Where one state is left, all that is likeliest so far is settled and set down, so long tokens are decoded whole in little memory."""
+    out: list[str] = []
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     number = {c: int(TABLE[min(ord(c), len(TABLE) - 1)]) for c in set(token) | set("abcdefghijklmnopqrstuvwxyz")}
 
@@ -168,35 +190,48 @@ def decode(token: str, logp: np.ndarray) -> str:
                     after[x, y] = (s, p)
         best = after
 
+    def settle(path: tuple | None) -> None:
+        part = []
+        while path is not None:
+            path, c = path
+            part.append(c)
+        out.extend(reversed(part))
+
     for ways in lattice(token):
         extend(ways)
+        if len(best) == 1:
+            ((state, (score, path)),) = best.items()
+            settle(path)
+            best = {state: (score, None)}
     (_, path) = max(((s + (float(logp[a, b, 0]) if b else 0.0), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])
-    out = []
-    while path is not None:
-        path, c = path
-        out.append(c)
-    return "".join(reversed(out))
+    settle(path)
+    return "".join(out)
 
 
 class Restorer:
     """The words of a text, as they stand and restored; only listed ones if there is a list. Keeps what tokens gave, up to a bound."""
 
     def __init__(self, logp: np.ndarray, listed: set[str] | None = None, bound: int = 200_000):
-        self.logp, self.listed, self.bound, self.known = logp, listed, bound, {}
-
-    def decoded(self, t: str) -> set[str]:
-        """Words of a disguised stretch, decoded in parts that overlap by a word's length."""
-        return {w for at in range(0, len(t), 400) for w in decode(t[at : at + 480], self.logp).split()}
+        self.logp, self.listed, self.bound, self.known, self.stretches = logp, listed, bound, {}, {}
+
+    def decoded(self, t: str) -> frozenset[str]:
+        """Words of a disguised stretch."""
+        got = self.stretches.get(t)
+        if got is None:
+            got = frozenset(decode(t, self.logp).split())
+            if len(t) <= 64:  # what may come again
+                if len(self.stretches) >= self.bound:
+                    self.stretches.clear()
+                self.stretches[t] = got
+        return got
 
     def restored(self, t: str) -> set[str]:
-        # Long tokens may hold short words, or be one of many repeats: runs are shortened, and stretches decoded.
-        whole = t if len(t) <= 64 else TRIPLE.sub(r"\1\1\1", t)
-        return self.decoded(whole) | ({TRIPLE.sub(r"\1", t), TRIPLE.sub(r"\1\1", t)} if REPEATED.search(t) else set())
+        return self.decoded(t) | ({TRIPLE.sub(r"\1", t), TRIPLE.sub(r"\1\1", t)} if REPEATED.search(t) else set())
 
     def of(self, token: str) -> tuple[str, ...]:
         core = token.strip(EDGES)
         if core.isalpha():
-            words = {core} | self.restored(core) if REPEATED.search(core) else {core}
+            words = {core, *self.restored(core)} if REPEATED.search(core) else {core}
         else:
             words = {core, *re.findall(r"[^\W\d_]+", core)} - {""}
             for t in {core, token.rstrip(EDGES).lstrip(OPENING)}:
@@ -212,7 +247,7 @@ class Restorer:
 
     def places(self, text: str) -> Iterator[tuple[str, int]]:
         """Each word with a hash of the token and the one that follows, where the token stands last; each stem with a hash of the token."""
-        tokens = text.lower().split()
+        tokens = folded(text).split()
         for token, after in dict(zip(tokens, [*tokens[1:], ""], strict=False)).items():
             got = self.known.get(token)
             place = zlib.crc32(f"{token} {after}".encode("utf-8", "surrogatepass"))
@@ -221,7 +256,7 @@ class Restorer:
                 yield w, own if w[-1] == "^" else place
 
     def words(self, text: str) -> set[str]:
-        low = text.lower()
+        low = folded(text)
         out: set[str] = set()
         get = self.known.get
         for token in set(low.split()):
@@ -231,9 +266,13 @@ class Restorer:
             if got:
                 out.update(got)
         for m in SPACED.finditer(low):
-            # One letter over and over is no word.
-            if len(set(m[0]) - set(SEPARATORS)) > 1:
-                out |= self.decoded(m[0])
+            # One letter over and over is no word, and pairs alone are words of their own.
+            if len(set(filter(str.isalpha, m[0]))) > 1 and SINGLE.search(m[0]):
+                out |= self.decoded(alike(m[0]))
+        if self.listed is not None:
+            # A word of the list that is cut in two is one if the model reads it as one.
+            cut = {m[1] + " " + m[2] for m in HALVES.finditer(low) if m[1] + m[2] in self.listed}
+            out.update(w for c in cut for w in self.decoded(c))
         return out if self.listed is None else out & self.listed
 
 

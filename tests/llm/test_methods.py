@@ -1,7 +1,10 @@
 """Operators that SQL can't express, against brute force, round trips and held-out accuracy."""
 
+import math
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -306,9 +309,38 @@ def test_toxicity_held_out_and_disguised(spark):
     model = toxicity.character_model(d)
     for plain, disguised in (("idiot", "1d10t"), ("idiot", "i d i o t"), ("idiot", "i.d.i.o.t"), ("moron", "m0r0n"), ("stupid", "$tup1d"), ("trash", "tr@sh"), ("worthless", "wooorthless")):
         assert plain in toxicity.Restorer(model.logp).words(f"and {disguised} the"), disguised
+    spaced = ["i  d  i  o  t", "i. d. i. o. t", "i\nd\ni\no\nt", "i/d/i/o/t", "i~d~i~o~t", "i d!ot", "idi ot", "\u200bi\u200bd\u200bi\u200bo\u200bt", "id\u0456ot", "i d \u0456 o t", "".join(chr(ord(c) + 0xFEE0) for c in "idiot"), "i, d, i, o, t", "id. i. ot"]
+    assert [x for x in spaced if "idiot" not in toxicity.Restorer(model.logp, {"idiot"}).words(f"and {x} the")] == []
+    assert [x for x in ("id", "i ot", "id e", "\u0438\u0434\u0456\u043e\u0442", "it is a do to", "so it is") if "idiot" in toxicity.Restorer(model.logp, {"idiot"}).words(f"and {x} the")] == []
     assert toxicity.Restorer(model.logp).words("") == set()
 
 
+def test_scores_are_those_of_the_list_and_the_weights(spark):
+    d, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.character_model(d)
+    weights, _, marks = toxicity.word_list(d, labels.where(~toxicity.held_out(F.col("doc_id"))), model)
+    toxic = {r.id: r.y for r in marks.collect()}
+    evidence = {}
+    for r in d.select("doc_id", "text").collect():
+        top, *others = sorted((weights[w] for w in toxicity.Restorer(model.logp, set(weights)).words(r.text or "")), reverse=True) or [0.0]
+        evidence[r.doc_id] = top, math.log(1 + sum(others))
+    # As Spark rounds: half away from zero.
+    tenth = lambda x: math.floor(x * 10 + 0.5) / 10
+    cells = Counter((tenth(evidence[i][0]), tenth(evidence[i][1]), y) for i, y in toxic.items())
+    bias, a, b = toxicity.calibrated((*c, n) for c, n in cells.items())
+    got = {r.doc_id: r.toxic_score for r in toxicity.score_toxicity(d.select("doc_id", "text"), labels).collect()}
+    want = {i: 1 / (1 + math.exp(-(bias + a * x + b * y))) for i, (x, y) in evidence.items()}
+    assert weights and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-9
+
+
+def test_long_tokens_are_one_way_through_the_lattice(spark):
+    logp = toxicity.character_model(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).logp
+    tracemalloc.start()
+    text = toxicity.decode("th3.house-" * 20_000, logp)
+    assert tracemalloc.get_traced_memory()[1] < 10e6 and text.replace(" ", "") == "thehouse" * 20_000
+    tracemalloc.stop()
+
+
 def test_long_disguised_tokens_are_restored(spark):
     logp = toxicity.character_model(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).logp
     spaced = ".".join("youaresuchastupididiotandshouldgoaway")
