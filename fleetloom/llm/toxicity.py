@@ -63,6 +63,7 @@ HALVES = re.compile(r"(?<![^\W_])([^\W\d_]{1,4})(?=[\W_]+([^\W\d_]{1,4})(?![^\W_
 WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 WORD_RUN = re.compile(r"[^\W\d_]+")
 LATIN = re.compile("[a-z]")
+ANY_ALIKE = re.compile("[" + "".join(map(chr, LOOK_ALIKES)) + "]")
 REPEATED = re.compile(r"(.)\1\1")
 TRIPLE = re.compile(r"(.)\1\1+")
 DISGUISED = re.compile(r"(.)\1\1|[^\W\d_][\d@$!|+(€£._*-]+[^\W\d_]|[\d@$!|+(€£]+[^\W\d_]{2}|[^\W\d_]{2}[\d@$!|+€£]")
@@ -82,6 +83,8 @@ def folded(text: str) -> str:
     if low.isascii():
         return low
     low = unicodedata.normalize("NFKC", WIDTHLESS.sub("", low)).lower()
+    if not ANY_ALIKE.search(low):
+        return low
     return WORD_RUN.sub(lambda m: m[0] if m[0].isascii() else alike(m[0]), low)
 
 
@@ -271,7 +274,7 @@ class Restorer:
                 out |= self.decoded(alike(m[0]))
         if self.listed is not None:
             # A word of the list that is cut in two is one if the model reads it as one.
-            cut = {m[1] + " " + m[2] for m in HALVES.finditer(low) if m[1] + m[2] in self.listed}
+            cut = {f"{a} {b}" for a, b in set(HALVES.findall(low)) if a + b in self.listed}
             out.update(w for c in cut for w in self.decoded(c))
         return out if self.listed is None else out & self.listed
 
