@@ -113,16 +113,18 @@ def as_of(rows: DataFrame, states: DataFrame, key: str, at: str, value: str) ->
     return met.where("__kind = 1").select("__row.*", F.col("before").getField(value).alias(value))
 
 
-def sequence_digest(lines: DataFrame, *, width: int = 64, last: int = 1024) -> DataFrame:
+def sequence_digest(lines: DataFrame, *, width: int = 64, last: int = 1024, levels: int | None = None) -> DataFrame:
     """lines, digest: one SHA-256 of all lines (line) in their order, with their counts, whatever the partitions.
 
     Equal lines are counted first. The sorted lines are cut after each whose own digest says so, about every width; each stretch has a
-    digest, and these are cut and digested again until there are at most last. No key and no order is one task's work before that."""
+    digest, and these are cut and digested again until there are at most last. No key and no order is one task's work before that.
+    levels: cut at most so often; with one, a last task joins a digest for each width of different lines, 65 bytes each."""
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     now = stored(counted.select(F.col("line").alias("at"), F.sha2(F.concat_ws("|", "line", F.col("n").cast("string")), 256).alias("digest"), "n"))
     total = now.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
     now = now.select("at", "digest")
-    while now.count() > last:
+    while levels != 0 and now.count() > last:
+        levels = levels and levels - 1
         ends = (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % width == 0).cast("long")
         stretch = running_total(now.withColumn("all", F.lit(0)).withColumn("end", ends), "all", ["at"], "end")
         now = stored(stretch.groupBy("before").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("digest")).select(F.col("before").alias("at"), "digest"))
