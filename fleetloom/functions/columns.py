@@ -20,11 +20,15 @@ def round_half_away(c: Column, digits: int) -> Column:
     return F.signum(c) * F.floor(F.abs(c) * k + 0.5) / k
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c evaluated once however often use names it, also where the optimiser writes expressions out."""
+    return F.transform(F.array(c), use)[0]
+
+
 def vin_check_digit(vin: Column) -> Column:
     """The digit (or X) that belongs at position 9."""
-    plain = F.translate(vin, VIN_LETTERS, VIN_DIGITS)
-    total = sum((F.substring(plain, i + 1, 1).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0))
-    return F.when(total % 11 == 10, "X").otherwise((total % 11).cast("string"))
+    total = once(F.translate(vin, VIN_LETTERS, VIN_DIGITS), lambda plain: sum((F.substring(plain, i + 1, 1).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0)))
+    return F.substring(F.lit("0123456789X"), total % 11 + 1, F.lit(1))
 
 
 def vin_valid(vin: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import dtc_decode, vin_valid
+from ..functions.columns import dtc_decode, once, vin_valid
 
 A_SCHEMA = (
     "vehicle STRUCT<vin: STRING>, ts STRING, pos STRUCT<lat: DOUBLE, lon: DOUBLE, hdg: DOUBLE>, spd STRUCT<kmh: DOUBLE, kph: DOUBLE>, "
@@ -41,7 +41,10 @@ def _all_given(*cs: Column) -> Column:
 
 def parse_a(payload: Column) -> Column:
     """Struct of the common event, with parse_class for what isn't dialect A (schema 1 or 2)."""
-    m = F.from_json(payload, A_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return once(F.from_json(payload, A_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), _event_a)
+
+
+def _event_a(m: Column) -> Column:
     ts, speed = F.try_to_timestamp(m["ts"]), F.when(m["schema"] >= 2, m["spd"]["kph"]).otherwise(m["spd"]["kmh"])
     evt = F.when(_text(m["diag"]["evt"]) == "", EVENTS[0]).otherwise(m["diag"]["evt"])
     wrong = (
@@ -53,7 +56,10 @@ def parse_a(payload: Column) -> Column:
 
 def parse_b(payload: Column) -> Column:
     """Struct of the common event, with parse_class for what isn't dialect B (schema 1)."""
-    m = F.from_json(payload, B_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return once(F.from_json(payload, B_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), _event_b)
+
+
+def _event_b(m: Column) -> Column:
     raw = F.trim(_text(m["dtcRaw"]))
     groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(raw) - 1) / 4), F.lit(0))), lambda i: dtc_decode(F.substring(raw, (i * 4 + 1).cast("int"), F.lit(4))))
     dtc = F.when(raw == "", F.array().cast("array<string>")).otherwise(groups)
@@ -93,11 +99,13 @@ def normalise(raw: DataFrame, makers: DataFrame, directory: DataFrame) -> DataFr
 
     makers (oem, dialect) tells the dialect; an unknown maker's messages count as malformed. directory (vin, tenant)
     tells whose the vehicle is: a vehicle that isn't there is unauthorised, last of all rules. The dialect is a
-    column, so both ways are expressions of one scan; the joins are left to the optimiser, as the directory grows."""
-    rows = raw.join(makers.dropDuplicates(["oem"]), "oem", "left")
+    column, so both ways are expressions of one scan; the join with
+    the directory is left to the optimiser, as that grows. Makers are few, and as keys of a shuffle would be as few tasks.
+    A payload and an event are each named once in what uses many of their fields, so wherever the optimiser puts these, a payload is parsed once."""
+    rows = raw.join(F.broadcast(makers.dropDuplicates(["oem"])), "oem", "left")
     a, b = parse_a(F.col("payload")), parse_b(F.col("payload"))
     rows = rows.withColumn("e", F.when(F.col("dialect") == "A", a).when(F.col("dialect") == "B", b))
-    rows = rows.withColumn("error_class", F.when(F.col("e").isNull(), "MALFORMED").otherwise(error_class(F.col("e"), F.col("recv_ts"))))
+    rows = rows.withColumn("error_class", once(F.col("e"), lambda e: F.when(e.isNull(), "MALFORMED").otherwise(error_class(e, F.col("recv_ts")))))
     owner = directory.dropDuplicates(["vin"]).select(F.col("vin").alias("__vin"), "tenant")
     rows = rows.join(owner, F.col("e.vin") == F.col("__vin"), "left").drop("__vin")
     return rows.withColumn("error_class", F.coalesce("error_class", F.when(F.col("tenant").isNull(), "UNAUTHORIZED_VIN")))
