@@ -35,17 +35,20 @@ def levels(capacity: float, start: float, target: float, power: float) -> tuple[
 def cheapest(capacity: float, start: float, target: float, power: float, price: np.ndarray) -> tuple[float, np.ndarray] | None:
     """(cost, steps in each slot) of the cheapest way from start to target kWh; None if there is none. Slots priced inf are taken.
 
-    Backwards over slots: due[t, i] is the least cost from level i before slot t; all levels are moved at once."""
+    Backwards over slots: due[t, i] is the least cost from level i before slot t; all levels are moved by all numbers of steps at once."""
     top, room = levels(capacity, start, target, power)
     if top <= 0:
         return 0.0, np.zeros(len(price), int)
-    due = np.full((len(price) + 1, top + 1), np.inf)
+    steps = np.arange(max(0, min(int(room.max()), top)) + 1)
+    barred = np.where(steps <= np.maximum(room, 0)[:, None], 0.0, np.inf)
+    due = np.full((len(price) + 1, top + len(steps)), np.inf)  # levels past the top are never left
     due[-1, top] = 0.0
     for t in range(len(price) - 1, -1, -1):
-        due[t] = due[t + 1]
-        for k in range(1, min(room.max(), top) + 1 if np.isfinite(price[t]) else 1):
-            way = np.where(room[: top + 1 - k] >= k, due[t + 1, k:] + price[t] * k * STEP / EFFICIENCY, np.inf)
-            due[t, : top + 1 - k] = np.minimum(due[t, : top + 1 - k], way)
+        if np.isfinite(price[t]):
+            ways = np.lib.stride_tricks.sliding_window_view(due[t + 1], len(steps))
+            due[t, : top + 1] = (ways + price[t] * steps * STEP / EFFICIENCY + barred).min(1)
+        else:
+            due[t] = due[t + 1]
     if not np.isfinite(due[0, 0]):
         return None
     level, used = 0, np.zeros(len(price), int)
@@ -106,7 +109,9 @@ def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float =
         return vin, charger, True, found[0], ",".join(map(str, found[1].tolist()))
 
     rows = vehicles.where(F.col("soc") < target_pct).where("capacity > 0").select("charger", "soc", "vin", "power", "capacity")
-    return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, feasible boolean, cost double, slots string")
+    # A row is a few bytes, but a plan takes milliseconds: tasks must not be put together by their bytes.
+    parts = int(vehicles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, feasible boolean, cost double, slots string", parts=parts)
 
 
 def intervals(plans: DataFrame) -> DataFrame:
