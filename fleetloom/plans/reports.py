@@ -138,15 +138,20 @@ DIST = "CAST(floor(12742.0176::DOUBLE * asin(sqrt(power(sin(radians(clat - lat)
 d AS (SELECT vin, charger, soc, {DIST} AS m FROM l JOIN ch ON clat BETWEEN lat - 0.1::DOUBLE AND lat + 0.1::DOUBLE AND clon BETWEEN lon - 0.1::DOUBLE AND lon + 0.1::DOUBLE)
 SELECT vin, charger, m, m * 13 <= soc * 20000 AS reachable FROM d QUALIFY row_number() OVER (PARTITION BY vin ORDER BY m, charger) <= 3""")
 def nearest_chargers_box(spark, sf_dir):
-    """The box join is an equality of cells as wide as half the box: a charger is sent to the nine cells about its own."""
+    """The box join is an equality of cells as wide as half the box: a charger is sent to the nine cells about its own.
+
+    Of chargers at one place only the first three can be among the three nearest, and vehicles at one place have the same three: places meet, not rows."""
     l = ordered.latest(telemetry(spark, sf_dir), "vin", "seq").select("vin", "soc", "lat", "lon", F.floor(F.col("lat") / 0.1).alias("y"), F.floor(F.col("lon") / 0.1).alias("x"))
     ch = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("charger"), ((F.col("s_suppkey") * 7 % 100 + 1200) / F.lit(100.0)).alias("clat"), ((F.col("s_suppkey") * 13 % 50 + 8000) / F.lit(100.0)).alias("clon"))
+    own = Window.partitionBy("clat", "clon").orderBy("charger")
+    ch = ch.withColumn("rank", F.row_number().over(own)).where("rank <= 3").drop("rank")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     ch = ch.select("*", F.explode(F.transform(near, lambda i: F.floor(F.col("clat") / 0.1) + i)).alias("y")).select("*", F.explode(F.transform(near, lambda i: F.floor(F.col("clon") / 0.1) + i)).alias("x"))
-    met = l.join(ch, ["y", "x"]).where("clat BETWEEN lat - 0.1D AND lat + 0.1D AND clon BETWEEN lon - 0.1D AND lon + 0.1D")
+    met = l.select("lat", "lon", "y", "x").distinct().join(ch, ["y", "x"]).where("clat BETWEEN lat - 0.1D AND lat + 0.1D AND clon BETWEEN lon - 0.1D AND lon + 0.1D")
     met = met.withColumn("m", F.floor(C.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) * 1000 + 0.5))
-    rank = F.row_number().over(Window.partitionBy("vin").orderBy("m", "charger"))
-    return met.withColumn("rank", rank).where("rank <= 3").select("vin", "charger", "m", (F.col("m") * 13 <= F.col("soc") * 20000).alias("reachable"))
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("m", "charger"))
+    met = met.withColumn("rank", rank).where("rank <= 3").select("lat", "lon", "charger", "m")
+    return l.join(met, ["lat", "lon"]).select("vin", "charger", "m", (F.col("m") * 13 <= F.col("soc") * 20000).alias("reachable"))
 
 
 @query(f"""WITH {ALERT}, f AS (SELECT vin, min(detected_at) AS first_at FROM alert WHERE severity = 'CRITICAL' GROUP BY 1), s AS (SELECT o_custkey AS vin, min(o_orderdate) AS stranded FROM orders WHERE o_totalprice > 300000 GROUP BY 1),
