@@ -21,8 +21,8 @@ from ..sources.scratch import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Queries that are broadcast at once; rows of vectors that are multiplied at once; candidates that a task holds.
-BLOCK, ROWS, HELD = 4096, 512, 1 << 20
+#: Queries that are broadcast at once; cosines that a task makes at once; candidates that it holds beside the best so far.
+BLOCK, CELLS, HELD = 4096, 1 << 18, 1 << 18
 #: Cosines are compared in so many digits, so that equal vectors tie whatever the order of a sum.
 DIGITS = 12
 
@@ -45,11 +45,12 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k, self.least, self.size = k, np.full(queries, -np.inf), 0
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kept = 0
 
     def add(self, query: np.ndarray, cosine: np.ndarray, ids: np.ndarray) -> None:
         self.held.append((query, cosine, ids))
         self.size += len(query)
-        if self.size > HELD:
+        if self.size > HELD + self.kept:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +62,7 @@ class Best:
         self.least[q[full]] = c[full]
         keep = nth < self.k
         self.held, self.size = [(q[keep], c[keep], i[keep])], int(keep.sum())
+        self.kept = self.size
         return self.held[0]
 
 
@@ -85,8 +87,9 @@ def _searcher(shared, k: int) -> Callable:
                 mine, use = np.flatnonzero(cell == c), of_cell.get(int(c)) if cells is not None else every
                 if use is None:
                     continue
-                for s in range(0, len(mine), ROWS):
-                    rows = mine[s : s + ROWS]
+                step = max(1, CELLS // len(use))
+                for s in range(0, len(mine), step):
+                    rows = mine[s : s + step]
                     cosine = np.round(v[rows] @ q[use].T, DIGITS)
                     r, n = np.nonzero((cosine >= best.least[use]) & (ids[rows][:, None] != qids[use]))
                     best.add(use[n], cosine[r, n], ids[rows][r])
