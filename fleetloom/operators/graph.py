@@ -59,6 +59,19 @@ def _apart(few: DataFrame) -> DataFrame:
     return first.select("node").unionByName(free.join(least, "node", "left").where("lowest IS NULL OR rank < lowest").select("node"))
 
 
+def trimmed(e: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """e (as both_ways gives it) without its nodes of one edge that aren't in kept (node), and these (node, beside: b, len). No two are neighbours.
+
+    One aggregate and one join, where a round of contracted takes several of each; most rows of a road with places beside it go here."""
+    one = e.where("a <> b").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.min("len").alias("len")).where("n = 1").join(kept.select(F.col("node").alias("a")), "a", "left_anti")
+    # Of two that have only each other, the larger.
+    gone = stored(one.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max("a").alias("node"), F.min("len").alias("len")))
+    left = e.where("a < b").join(gone.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
+    left = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"), "len").select("e.a", "e.b", "len")
+    other = F.when(F.col("node") == F.col("x"), F.col("y")).otherwise(F.col("x"))
+    return stored(left), gone.select("node", F.array(F.struct(other.alias("b"), "len")).alias("beside"))
+
+
 def contracted(e: DataFrame, kept: DataFrame, *, degree: int = 3, least_share: int = 16) -> tuple[DataFrame, list[DataFrame]]:
     """What is left of e (as both_ways gives it) without its nodes of few edges, and those nodes (node, beside: b, len) round by round.
 
@@ -96,9 +109,11 @@ def nearest_by_shortcuts(edges: DataFrame, sources: DataFrame, **options) -> Dat
 
     A node put back is as near as the nearest of its neighbours makes it; all of these are there by then. Rows that rounds
     write shrink with the graph, so all of them together are a few times as many as its edges."""
-    core, rounds = contracted(both_ways(edges), sources.where("node IS NOT NULL"), **options)
+    kept = sources.where("node IS NOT NULL").select("node").distinct()
+    left, ends = trimmed(both_ways(edges), kept)
+    core, rounds = contracted(left, kept, **options)
     best = stored(_spread(core, _starts(sources)))
-    for gone in reversed(rounds):
+    for gone in reversed([ends, *rounds]):
         near = best.select(F.col("node").alias("b"), "dist", "source")
         offers = gone.select("node", F.explode("beside").alias("x")).select("node", "x.b", "x.len").join(near, "b")
         back = offers.groupBy("node").agg(F.min(F.struct((F.col("dist") + F.col("len")).cast("long").alias("dist"), "source")).alias("at"))
