@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -145,17 +147,23 @@ def charge_plan(spark, sf_dir):
     return charging.charge_plan(v, slot_prices())
 
 
+#: Rows of a task that trains.
+TASK_ROWS = 250_000
+
+
 @query()
 def range_model(spark, sf_dir):
     """Mean absolute error of boosted trees and of three plain guesses, over vehicles that training didn't see. No SQL: a learnt model."""
     o = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     rows = o.select(
         F.col("l_suppkey").alias("vin"), F.col("l_quantity").alias("km"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("catalogue"), F.col("l_discount").alias("discount"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("used"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("used"), "l_orderkey", "l_linenumber",
     ).where("km > 0")
     rows = VectorAssembler(inputCols=["km", "size", "catalogue", "discount"], outputCol="features").transform(rows)
     held = F.crc32(F.col("vin").cast("string")) % 5 == 0
-    train, test = rows.where(~held), rows.where(held)
+    # Training reads its rows from memory again and again, a partition a task: so many tasks that each has TASK_ROWS or fewer.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(table(spark, sf_dir, "lineitem").count() / TASK_ROWS))
+    train, test = rows.where(~held).repartition(parts, "l_orderkey", "l_linenumber"), rows.where(held)
     model = GBTRegressor(labelCol="used", maxIter=10, stepSize=0.3, maxDepth=4, seed=0).fit(train)
     guess = model.transform(test).join(F.broadcast(train.agg(F.avg("used").alias("mean"))))
     return guess.agg(F.count(F.lit(1)).alias("trips"), *[F.avg(F.abs(F.col("used") - F.col(c))).alias(f"{n}_error") for n, c in (("trees", "prediction"), ("mean", "mean"), ("catalogue", "catalogue"))])
