@@ -114,6 +114,26 @@ def charge_plan(vehicles: DataFrame, prices: list[float], *, target_pct: float =
     return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, feasible boolean, cost double, slots string", parts=parts)
 
 
+def beside_soonest(plans: DataFrame, vehicles: DataFrame, prices: list[float], *, target_pct: float = 80.0) -> DataFrame:
+    """vin, charger, dearer of plans (as charge_plan gives them, in whole steps) for vehicles: whether soonest_steps, in the slots that the plans before it at its charger leave free, costs less or is the only one that gets there.
+
+    The cost of a plan is what its slots cost, or what it says if that is more."""
+    base = np.asarray(prices, float)
+
+    def step(taken: np.ndarray, row: tuple) -> tuple:
+        charger, soc, vin, power, capacity, feasible, cost, slots = row
+        plain = soonest_steps(capacity, soc / 100 * capacity, target_pct / 100 * capacity, power, np.where(taken, np.inf, base))
+        if feasible:
+            used = np.array(slots.split(","), int)
+            cost = max(cost, float((base * used).sum()) * STEP / EFFICIENCY)
+            taken |= used > 0
+        return vin, charger, plain is not None and (not feasible or cost > plain[0] + 1e-6)
+
+    rows = vehicles.join(plans, ["vin", "charger"]).select("charger", "soc", "vin", "power", "capacity", "feasible", "cost", "slots")
+    parts = int(vehicles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fold_sorted(rows, "charger", ["soc", "vin"], lambda: np.zeros(len(base), bool), step, "vin long, charger long, dearer boolean", parts=parts)
+
+
 def intervals(plans: DataFrame) -> DataFrame:
     """vin, charger, first_slot, end_slot (exclusive), kwh of the unbroken stretches of plans (vin, charger, feasible, slots)."""
     slots = plans.where("feasible AND slots <> ''").select("vin", "charger", F.posexplode(F.split("slots", ",")).alias("slot", "steps")).withColumn("steps", F.col("steps").cast("double")).where("steps > 0")
